@@ -44,6 +44,9 @@ from . import blocks as B
 from . import textnum as T
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+PIECE_BYTES = 1 << 20
+#: Entries of a shard, for which the index takes some 100 bytes each.
+SHARD_KEYS = 1 << 19
 _PLACE_BITS = 31  # no column value is longer
 
 
@@ -91,16 +94,16 @@ class Runs:
 
     start, end: first and last string of the run, as byte numbers of the block.
     key: fingerprint of the anchor; content: of all bytes spanned and of where
-    the anchor lies in them. strings(mask): starts and fingerprints of all
-    strings of the chosen runs.
+    the anchor lies in them. look_at(mask) fills at and string: starts and
+    fingerprints of all strings of the chosen runs.
     """
 
-    def __init__(self, text: pa.Array, width: int, gram: int, want: np.ndarray | None = None) -> None:
+    def __init__(self, text: pa.Array, width: int, gram: int) -> None:
         data, offs = T.as_bytes(text)
-        self.offs, self.raw = offs, data
-        got: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        done = 0
-        for a, b in T.pieces(offs):
+        self.offs, self.raw, self.width = offs, data, width
+        self.at, self.string = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        got: list[list[np.ndarray]] = [[], [], [], []]
+        for a, b in T.pieces(offs, PIECE_BYTES):
             base = int(offs[a])
             chunk, rows = data[base : offs[b]], offs[a : b + 1] - base
             if len(chunk) < width:
@@ -124,17 +127,27 @@ class Runs:
             e = np.flatnonzero(tail)
             at = anchor[s]
             content = T.mix(T.range_hash(prefix, s, e + width) ^ T.mix((at - s).astype(np.uint64) * np.uint64(width) + (e - s).astype(np.uint64) + np.uint64(1)))
-            for x, y in zip(got, (s + base, e + base, grams[at], content), strict=False):
+            for x, y in zip(got, (s + base, e + base, grams[at], content), strict=True):
                 x.append(y)
-            if want is not None:
-                chosen = np.flatnonzero(want[done : done + len(s)])
-                n = e[chosen] - s[chosen] + 1
-                starts = np.repeat(s[chosen] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())
-                got[4].append(starts + base)
-                got[5].append(T.mix(T.range_hash(prefix, starts, starts + width)))
-            done += len(s)
-        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.start, self.end, self.key, self.content, self.at, self.string = (join(x, t) for x, t in zip(got, (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.uint64), strict=True))
+        self.start, self.end, self.key, self.content = (_join(x, t) for x, t in zip(got, (np.int64, np.int64, np.uint64, np.uint64), strict=True))
+
+    def look_at(self, want: np.ndarray) -> None:
+        starts, strings = [], []
+        chosen = np.flatnonzero(want)
+        s, n = self.start[chosen], (self.end - self.start)[chosen] + 1
+        for a, b in T.pieces(self.offs, PIECE_BYTES):
+            base, stop = int(self.offs[a]), int(self.offs[b])
+            i, j = np.searchsorted(s, [base, stop])
+            if i < j:
+                before = np.concatenate([[0], np.cumsum(n[i:j])])
+                at = np.repeat(s[i:j] - before[:-1], n[i:j]) + np.arange(before[-1])
+                starts.append(at)
+                strings.append(T.mix(T.range_hash(T.prefix_hash(self.raw[base:stop]), at - base, at - base + self.width)))
+        self.at, self.string = _join(starts, np.int64), _join(strings, np.uint64)
+
+
+def _join(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _first_of_each(key: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -203,7 +216,8 @@ def _marked(text: pa.Array, marks: pa.Table, width: int, gram: int, shards: int)
     repeats[first] = again
     want = np.zeros(len(runs.key), bool)
     want[first] = shared
-    return (Runs(text, width, gram, want) if want.any() else runs), repeats
+    runs.look_at(want)
+    return runs, repeats
 
 
 def _list_strings(width: int, gram: int, shards: int, shards_2: int):
@@ -261,7 +275,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 50, digest: bool
     (width - gram) / 2 bytes.
     """
     blocks = B.blocked(docs)
-    shards, shards_2 = blocks.shards((width - gram) / 2), blocks.shards(8)
+    shards, shards_2 = blocks.shards((width - gram) / 2, SHARD_KEYS), blocks.shards(8, SHARD_KEYS)
     by_block = blocks.frame.groupBy("block")
     marks_1 = by_block.applyInArrow(_list_runs(width, gram, shards), B.PACKED).groupBy("shard").applyInArrow(_scan_runs, B.MARKS)
     strings = blocks.frame.groupBy("block").cogroup(marks_1.groupBy("block")).applyInArrow(_list_strings(width, gram, shards, shards_2), B.PACKED)
