@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup as lines
+from .line_dedup import line_dedup
+from .secret_scan import secret_scan, span_list
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -20,14 +23,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.col("kept_text").alias("kept_sha256"), "n_spans")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(_table(spark, sf_dir, "documents"), width=100, digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(_table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, F.sha2(span_list("assign", "access", "hex"), 256).alias("base_sha256"), span_list("assign", "access", "hex", "entropy").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op6_suffix_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_line_dedup, op6_suffix_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": lines.SQL}
