@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import line_dedup as lines
 from .line_dedup import line_dedup
+from .quality_rules import quality_rules
 from .secret_scan import secret_scan, span_list
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -33,6 +34,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(_table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
@@ -40,7 +46,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_line_dedup, op6_suffix_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_line_dedup, op6_suffix_dedup, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
