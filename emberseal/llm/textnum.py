@@ -86,9 +86,9 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the number of the first word of each row."""
-    inside = ~IS_SPACE[data]
+    inside = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
     starts = inside.copy()
