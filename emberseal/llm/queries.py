@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
+from .decontaminate import decontaminate
+from .license_scan import license_scan
 from .line_dedup import line_dedup
+from .near_dedup import near_dedup
 from .packing import TokenizerFiles, pack
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan, span_list
@@ -46,11 +49,29 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(_table(spark, sf_dir, "documents"), width=100, digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,7 +84,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_toxicity, op4_line_dedup, op6_suffix_dedup, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_toxicity, op4_line_dedup, op5_near_dedup, op6_suffix_dedup, op7_license_scan, op8_decontaminate, op9_quality_rules, op10_secret_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
