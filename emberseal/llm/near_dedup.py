@@ -11,10 +11,13 @@
    whose estimate (equal registers, less those expected to be equal by chance)
    lies far below the threshold are dropped; texts of the others are compared
    as whole sets.
-4. Components are built. Where a bucket still holds several, the pairs between
-   them are what may have been missed. Jaccard distance is a metric, so the
-   distances to the centre rule out most of them without a look at the texts;
-   the others are compared too, and components are built again.
+4. Components are built. A link that was missed joins a member that is not
+   linked with its centre to another member of the centre. Such members and
+   all members are dealt out in blocks of BLOCK rows, and each pair of blocks
+   is looked at in one task, which holds the two blocks and returns links
+   only. Sizes, distances to the centre (Jaccard distance is a metric),
+   estimates and links already found to the same component spare most
+   comparisons. Components are built again.
 
 Sizes bound similarity, so pairs of unlike sizes are dropped early. A pair at
 85 % shares no band with probability 4e-7.
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,7 @@ from .durable import durable
 from .rowkeys import NO_ID, id_or_null, keyed
 
 REGISTERS, BAND_ROWS, BANDS = 128, 5, 25
+BLOCK = 256
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
 
@@ -146,6 +151,42 @@ def _compare(n: int):
     return compared
 
 
+def _across(n: int, percent: int):
+    """Links between one block of a centre's unlinked members and one of all its members."""
+
+    def across(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        rest, others = table.filter(table.column("rest")), table.filter(pc.invert(table.column("rest")))
+        if rest.num_rows and others.num_rows:
+            t = percent / 100
+
+            def read(table: pa.Table):
+                sets = list(shingle_sets(*T.as_bytes(table.column("text")), n))
+                far = table.column("far").to_numpy().astype(float)  # NaN: not known
+                return table.column("doc_id").to_numpy(), table.column("c").to_numpy(), far, sets, np.array([len(x) for x in sets]), np.array([registers(x) for x in sets])
+
+            ida, ca, fa, sa, na, ra = read(rest)
+            idb, cb, fb, sb, nb, rb = read(others)
+            for i in range(len(ida)):
+                fits = (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])) & ~(np.abs(fb - fa[i]) > 1 - t + 1e-9)
+                at = np.flatnonzero(fits)
+                if len(at):
+                    got, used = estimate(ra[i : i + 1], rb[at], (na[i : i + 1], nb[at]))
+                    near = got >= t - SLACK * np.sqrt(t * (1 - t) / used) - 1 / used
+                    at = at[near][np.argsort(-got[near], kind="stable")]
+                done: set[int] = set()  # one link to a component is enough
+                for j in at.tolist():
+                    if int(cb[j]) not in done:
+                        k = int(np.isin(sa[i], sb[j], assume_unique=True).sum())
+                        if 100 * k >= percent * (na[i] + nb[j] - k):
+                            done.add(int(cb[j]))
+                            a.append(int(ida[i]))
+                            b.append(int(idb[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return across
+
+
 def _checked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b, both, either of the pairs (a, b) that pass the estimate."""
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
@@ -176,19 +217,21 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     linked = lambda x: x.filter(f"100 * both >= {int(percent)} * either").select("a", "b")
     same = to_rep.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     part = components(linked(stars))
-    # Pairs between the components that a bucket still holds.
+    # Links between the components that a centre's members still form.
     far = stars.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), (1 - F.col("both") / F.col("either")).alias("far"))
-    labelled = starred.join(part.withColumnsRenamed({"v": "doc_id"}), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    labelled = labelled.join(far, ["doc_id", "centre"], "left").withColumn("far", F.when(F.col("doc_id") == F.col("centre"), 0.0).otherwise(F.col("far")))
-    mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    open_ = durable(labelled.join(mixed, "band").join(part.select(F.col("v").alias("centre"), F.col("c").alias("main")), "centre", "left").withColumn("main", F.coalesce("main", "centre")))
-    rest = open_.filter("c <> main").select("band", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("far").alias("fa"))
-    other = open_.filter("doc_id <> centre").select("band", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("far").alias("fb"))
-    reach = 1 - percent / 100 + 1e-9
-    # An unknown distance (its estimate was too low) rules nothing out here; the estimate of the pair itself will.
-    pairs = rest.join(other, "band").filter(F.col("ca") != F.col("cb")).filter(F.col("fa").isNull() | F.col("fb").isNull() | (F.abs(F.col("fa") - F.col("fb")) <= reach))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _checked(pairs, reps, texts, shingle, percent)
-    final = components(linked(stars).unionByName(linked(more)).unionByName(same))
+    group = starred.filter("doc_id <> centre").select("doc_id", "centre").distinct()
+    label = lambda df, x, c: df.join(part.select(F.col("v").alias(x), F.col("c").alias(c)), x, "left").withColumn(c, F.coalesce(c, x))
+    group = label(label(group, "doc_id", "c"), "centre", "main").join(far, ["doc_id", "centre"], "left")
+    sizes = group.groupBy("centre").agg(F.count("*").alias("m"), F.sum((F.col("c") != F.col("main")).cast("int")).alias("r")).filter("r > 0 and m > 1")
+    sizes = sizes.select("centre", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("r") / BLOCK).cast("int").alias("rb"))
+    held_by = durable(group.join(sizes, "centre"))
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = held_by.withColumn("i", block("mb")).withColumn("j", every("rb"))
+    rest = held_by.filter("c <> main").withColumn("j", block("rb")).withColumn("i", every("mb"))
+    kinds = lambda x, k: x.select("centre", "i", "j", "doc_id", "c", "far", F.lit(k).alias("rest"))
+    blocks = kinds(rest, True).unionByName(kinds(others, False)).join(texts.dropDuplicates(["doc_id"]), "doc_id")
+    more = durable(blocks.groupBy("centre", "i", "j").applyInArrow(_across(shingle, percent), "a long, b long"))
+    final = components(linked(stars).unionByName(more).unionByName(same))
     joined = sketches.select("doc_id", "n").join(final.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     return joined.select(id_or_null(), F.col("n").alias("n_shingles"), F.when(F.col("c") != NO_ID, F.col("c")).alias("component_id"), (F.col("doc_id") == F.col("c")).alias("kept"))
