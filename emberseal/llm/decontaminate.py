@@ -3,7 +3,8 @@
 Native: a text's words lose their case and outer punctuation; numbers, names
 and units become typed placeholders. Fingerprints of every `window` words come
 from doubling (pairs, pairs of pairs, ...), are exploded and hash-joined with
-those of the benchmark. A window equal word for word is a leak. One that
+those of the benchmark; the words of windows that meet are then compared. A
+window equal word for word is a leak. One that
 equals only as a template, so with other numbers, names or units in its slots,
 is a leak if the slots are consistent: what stands once or more often in the
 benchmark's slots stands for one and the same thing in the document's.
@@ -34,50 +35,50 @@ UNITS = ("%", "mm", "cm", "m", "km", "g", "kg", "t", "ml", "l", "s", "ms", "min"
 EDGE = "\"'()[]{}.,;:!?“”„‘’«»¿¡"
 
 
-def _words(text: Column) -> Column:
-    """Structs of c: canonical word, r: the word itself, for all words of text that have one."""
-    parts = F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), BLANK)
+def _parts(text: Column) -> Column:
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), BLANK)
 
-    def word(x: Column, before: Column) -> Column:
-        bare = F.btrim(x, F.lit(EDGE))
+
+def _words(parts: Column, value) -> Column:
+    """value(canonical word, word) of all parts that are more than punctuation; value makes strings or structs.
+
+    Lambdas compute what they name each time, so the parts are trimmed by a
+    transform of their own, and comparisons stand for substrings.
+    """
+    digit_first = lambda x: (x >= "0") & (x < ":")
+
+    def word(bare: Column, before: Column) -> Column:
         low = F.lower(bare)
-        opens = before.isNull() | F.substring(before, -1, 1).isin(".", "!", "?", ":")
-        first = F.substring(bare, 1, 1)
-        digit = first.between("0", "9")
-        capital = ~opens & (first != F.lower(first))
-        unit = F.substring(before, 1, 1).between("0", "9") & low.isin(*UNITS)
-        canonical = F.when(digit, NUMBER).when(F.coalesce(unit, F.lit(False)), UNIT).when(capital, NAME).otherwise(low)
-        return F.struct(canonical.alias("c"), low.alias("r"))
+        capital = (bare != low) & (F.substring(bare, 1, 1) != F.substring(low, 1, 1)) & before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
+        unit = digit_first(before) & low.isin(*UNITS)
+        return F.when(bare != "", value(F.when(digit_first(bare), NUMBER).when(unit, UNIT).when(capital, NAME).otherwise(low), low))
 
-    moved = F.concat(F.array(F.lit(None).cast("string")), parts)
-    both = F.zip_with(parts, moved, lambda x, before: F.when(x.isNotNull(), word(x, before)))
-    return F.filter(both, lambda w: w.isNotNull() & (w["r"] != ""))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(parts, F.lit(1), F.size(parts) - 1))
+    return F.array_compact(F.zip_with(F.transform(parts, lambda x: F.btrim(x, F.lit(EDGE))), before, word))
 
 
-def _prints(words: Column) -> Column:
-    """Structs of t: template fingerprint, v: verbatim one, k: literal words, of single words."""
-    slot = lambda w: w["c"].isin(NUMBER, NAME, UNIT)
-    return F.transform(words, lambda w: F.struct(F.xxhash64(w["c"]).alias("t"), F.xxhash64(w["r"]).alias("v"), (~slot(w)).cast("int").alias("k")))
+def _canonical(parts: Column) -> Column:
+    return _words(parts, lambda c, r: c)
 
 
-def _joined(a: Column, b: Column) -> Column:
-    return F.struct(F.xxhash64(a["t"], b["t"]).alias("t"), F.xxhash64(a["v"], b["v"]).alias("v"), (a["k"] + b["k"]).alias("k"))
+def _both(text: Column) -> Column:
+    return _words(_parts(text), lambda c, r: F.struct(c.alias("c"), r.alias("r")))
 
 
-def _windows(rows: DataFrame, window: int, literals: int) -> DataFrame:
-    """rows (with `words`) exploded into place, t, v; the words column is dropped."""
+def _windows(rows: DataFrame, window: int) -> DataFrame:
+    """rows (with canonical `words`) exploded into place and t, the fingerprint of `window` words; drops words."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    out = rows.withColumn("p", F.explode(F.array(_prints(F.col("words"))))).drop("words")
+    # The generators keep each step as a column, or the lambdas above it would compute it twice.
+    out = rows.withColumn("p", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w))))).drop("words")
     step = 1
     while step < window:
-        # Each doubling is a column of its own, or the lambdas would compute the one below twice.
-        shifted = F.slice("p", F.lit(step + 1), F.greatest(F.size("p") - step, F.lit(0)))
-        pairs = F.zip_with(F.slice("p", F.lit(1), F.greatest(F.size("p") - step, F.lit(0))), shifted, _joined)
+        count = F.greatest(F.size("p") - step, F.lit(0))
+        pairs = F.zip_with(F.slice("p", F.lit(1), count), F.slice("p", F.lit(step + 1), count), lambda a, b: F.xxhash64(a, b))
         out = out.withColumn("p", F.explode(F.array(pairs)))
         step *= 2
     others = [c for c in out.columns if c != "p"]
-    return out.select(*others, F.posexplode("p").alias("place", "w")).select(*others, "place", F.col("w")["t"].alias("t"), F.col("w")["v"].alias("v"), F.col("w")["k"].alias("k")).filter(F.col("k") >= literals).drop("k")
+    return out.select(*others, F.posexplode("p").alias("place", "t"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 5) -> DataFrame:
@@ -87,21 +88,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, litera
     that match with other, consistent slots.
     """
     rows = keyed(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).filter(F.size("words") >= window)
-    items = durable(items.withColumn("item", F.xxhash64("item_id", "words")))
-    known = durable(_windows(items.select("item", "words"), window, literals).withColumnRenamed("place", "item_place").withColumnRenamed("v", "item_v").dropDuplicates(["item", "t", "item_v"]))
+    items = durable(benchmark.select(F.col("item_id").cast("long").alias("item_id"), _both(F.coalesce(F.col("text"), F.lit(""))).alias("theirs")).filter(F.size("theirs") >= window).withColumn("item", F.xxhash64("item_id", "theirs")).dropDuplicates(["item"]))
+    held = _windows(items.select("item", "theirs", F.transform("theirs", lambda w: w["c"]).alias("words")), window)
+    literal = F.size(F.filter(F.slice("theirs", F.col("place") + 1, window), lambda w: ~w["c"].isin(NUMBER, NAME, UNIT)))
+    known = durable(held.filter(literal >= literals).select("t", "item", F.col("place").alias("item_place")))
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = _windows(rows.select("doc_id", "text_hash", _words(F.col("text")).alias("words")), window, literals)
-    hits = durable(found.join(F.broadcast(known) if small else known, "t").select("doc_id", "text_hash", "place", "item", "item_place", (F.col("v") == F.col("item_v")).alias("verbatim")))
-    # Slots are compared only for windows that no item has word for word.
-    loose = hits.groupBy("doc_id", "text_hash", "place").agg(F.max("verbatim").alias("any"), F.collect_set(F.struct("item", "item_place")).alias("at")).filter(~F.col("any")).select("doc_id", "text_hash", "place", F.explode("at").alias("at"))
-    loose = loose.select("doc_id", "text_hash", "place", F.col("at")["item"].alias("item"), F.col("at")["item_place"].alias("item_place"))
-    texts = rows.dropDuplicates(["doc_id", "text_hash"]).join(loose.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
-    words = texts.select("doc_id", "text_hash", _words(F.col("text")).alias("own"))
-    per_doc = loose.join(words, ["doc_id", "text_hash"]).withColumn("own", F.slice("own", F.col("place") + 1, window))
-    both = per_doc.join(items.select("item", F.col("words").alias("theirs")).dropDuplicates(["item"]), "item").withColumn("theirs", F.slice("theirs", F.col("item_place") + 1, window))
+    cut = rows.select("doc_id", "text_hash", F.explode(F.array(_parts(F.col("text")))).alias("parts"))
+    found = _windows(cut.select("doc_id", "text_hash", _canonical(F.col("parts")).alias("words")), window)
+    hits = durable(found.join(F.broadcast(known) if small else known, "t").select("doc_id", "text_hash", "place", "item", "item_place").distinct())
+    texts = rows.join(hits.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    own = texts.select("doc_id", "text_hash", _both(F.col("text")).alias("own"))
+    both = hits.join(own, ["doc_id", "text_hash"]).withColumn("own", F.slice("own", F.col("place") + 1, window))
+    both = both.join(items.select("item", "item_id", "theirs"), "item").withColumn("theirs", F.slice("theirs", F.col("item_place") + 1, window))
     slots = F.filter(F.zip_with("own", "theirs", lambda a, b: F.struct(b["c"].alias("c"), b["r"].alias("from"), a["r"].alias("to"))), lambda s: s["c"].isin(NUMBER, NAME, UNIT))
-    fits = both.withColumn("slots", F.explode(F.array(F.array_distinct(slots)))).filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["c"], s["from"])))))
-    leaks = hits.filter("verbatim").select("doc_id", "place", "item", F.lit(1).alias("word_for_word")).unionByName(fits.select("doc_id", "place", "item", F.lit(0).alias("word_for_word")))
-    named = leaks.join(items.select("item", "item_id").distinct(), "item")
-    return named.groupBy("doc_id").agg(F.countDistinct(F.when(F.col("word_for_word") == 1, F.col("place"))).alias("n_windows"), F.countDistinct(F.when(F.col("word_for_word") == 0, F.col("place"))).alias("n_templates"), F.sort_array(F.collect_set("item_id")).alias("item_ids")).select(id_or_null(), "n_windows", "n_templates", "item_ids")
+    told = both.select("doc_id", "place", "item_id", (F.transform("own", lambda w: w["r"]) == F.transform("theirs", lambda w: w["r"])).alias("verbatim"), (F.transform("own", lambda w: w["c"]) == F.transform("theirs", lambda w: w["c"])).alias("equal"), F.array_distinct(slots).alias("slots"))
+    fits = told.filter(F.col("equal") & (F.col("verbatim") | (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["c"], s["from"])))))))
+    places = fits.groupBy("doc_id", "place").agg(F.max("verbatim").alias("verbatim"), F.collect_set("item_id").alias("ids"))
+    out = places.groupBy("doc_id").agg(F.count_if("verbatim").alias("n_windows"), F.count_if(~F.col("verbatim")).alias("n_templates"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
+    return out.select(id_or_null(), "n_windows", "n_templates", "item_ids")
