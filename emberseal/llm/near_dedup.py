@@ -210,7 +210,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     held = durable(members.join(shared, "band"))
     degree = held.groupBy("doc_id").agg(F.sum("mates").alias("degree"))
     ranked = held.join(degree, "doc_id")
-    centres = ranked.groupBy("band").agg(F.max(F.struct("degree", -F.col("doc_id"))).alias("x")).select("band", (-F.col("x")["col2"]).alias("centre"))
+    # The complement orders ids downwards and exists for every one of them.
+    centres = ranked.groupBy("band").agg(F.max(F.struct("degree", F.bitwise_not("doc_id").alias("k"))).alias("x")).select("band", F.bitwise_not("x.k").alias("centre"))
     starred = durable(held.select("band", "doc_id").join(centres, "band"))
     texts = durable(rows.join(degree.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
     stars = _checked(starred.filter("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), reps, texts, shingle, percent)
