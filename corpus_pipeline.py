@@ -18,6 +18,7 @@ from emberseal.llm.near_dedup import near_dedup
 from emberseal.llm.packing import pack
 from emberseal.llm.quality_rules import quality_rules
 from emberseal.llm.queries import tokenizer_files
+from emberseal.llm.rowkeys import NO_ID
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,8 +39,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least doc_id."""
-    return _only(docs, near_dedup(docs).filter("kept").select("doc_id").distinct(), "left_semi")
+    """One document of each group: the one with the least doc_id; of rows that share a doc_id, the least by text and other columns."""
+    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
+    kept = near_dedup(docs).filter("kept").select(key)
+    # One partitioning by key serves the join and the aggregation.
+    least = docs.select(key, F.struct(*COLUMNS).alias("r")).join(kept, "key", "left_semi").groupBy("key").agg(F.min("r").alias("r"))
+    return least.select("r.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ ORACLE_SQL = None
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     ids = ids.withColumnRenamed("doc_id", "id")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), how).select(*COLUMNS)
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), how)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
