@@ -30,12 +30,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; n_chars counts anew. Texts that lose all their words go."""
-    cut = line_dedup(docs.dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("id"), "n_dropped", "kept_text")
-    changed = cut.filter("n_dropped > 0").select("id", "kept_text")
-    joined = docs.dropDuplicates(["doc_id"]).join(changed, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    out = joined.withColumn("text", F.coalesce("kept_text", "text")).withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
-    return out.filter(F.col("kept_text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
+    """Texts without repeated lines; n_chars counts anew. Texts that lose all their words go.
+
+    Texts that lose no line come back as they are, nulls included.
+    """
+    rest = ("lang", "source", "n_chars")
+    cut = line_dedup(docs.select(*COLUMNS, F.col("text").isNull().alias("no_text")), carry=(*rest, "no_text"))
+    changed = F.col("n_dropped") > 0
+    kept = cut.filter(~changed | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    text = F.when(~F.col("no_text"), F.col("kept_text")).alias("text")
+    size = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return kept.select("doc_id", text, "lang", "source", size)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ map task there, and the join with it is one Spark can split.
 Edge cases: a null or empty text is one empty line; a null doc_id counts as
 one document that sorts before all others and comes back as null; rows that
 share a doc_id are one document and all keep or lose the same lines; an empty
-table gives no rows; other columns are not looked at.
+table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_text."""
-    rows = keyed(docs)
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_text and the columns named in carry, as they are."""
+    rows = keyed(docs, F.struct(F.lit(0), *(F.col(f"`{c}`") for c in carry)).alias("carried"))
     lines = F.split("text", "\n", -1)
     key = line_key(F.col("line"))
     listed = (
@@ -57,6 +57,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
+        *(F.col(f"carried.`{c}`").alias(c) for c in carry),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 NO_ID = -(1 << 63)
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
+def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id (null: NO_ID), text (null: empty), text_hash and the columns of `more`.
 
     Rows equal in doc_id and text_hash have the same text, so what is found
