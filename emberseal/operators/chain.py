@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.crypto import hkdf, hmac_hex, pads, part
 from .keys import with_secret
 
-GENESIS = "0" * 64
+# Fixed values of the chain's form: without and with keys.
+GENESIS, UNKEYED, VERSIONS = "0" * 64, "none", ("sh1", "sh2h")
 FIELDS = ("key_id", "ts", "tenant", "subject_pseudonym", "requested_by", "reason", "keys_destroyed", "entity_count", "field_count", "blind_index_cleared", "outcome", "hook_material", "backup_clear_at")
 
 
@@ -23,34 +24,78 @@ def canonical(version: str = "sh1") -> Column:
     return F.concat(F.lit(version), *(part(F.col(f).cast("string")) for f in FIELDS))
 
 
-def linked(canonical_: Column, prev: Column) -> Column:
-    return F.sha2(F.concat(canonical_, F.lit("|"), F.length(prev).cast("string"), F.lit(":"), prev), 256)
+def linked(canonical_: Column, prev: Column, ipad: Column | None = None, opad: Column | None = None) -> Column:
+    """A record's hash; with pads it is keyed."""
+    material = F.concat(canonical_, F.lit("|"), F.length(prev).cast("string"), F.lit(":"), prev)
+    return F.sha2(material, 256) if ipad is None else hmac_hex(ipad, opad, F.encode(material, "UTF-8"))
 
 
-def append(records: DataFrame) -> DataFrame:
+def _with_pads(records: DataFrame, keyring: dict[str, bytes] | None) -> DataFrame:
+    """records with the pads of their key_id; null where the keyring lacks it. The keyring is the caller's, a few rows."""
+    if keyring is None:
+        return records.withColumns({"ipad": F.lit(None).cast("binary"), "opad": F.lit(None).cast("binary")})
+    rows = [(k, *map(bytearray, pads(secret))) for k, secret in keyring.items() if k != UNKEYED]
+    table = records.sparkSession.createDataFrame(rows, "key_id string, ipad binary, opad binary")
+    return records.join(F.broadcast(table), "key_id", "left")
+
+
+def append(records: DataFrame, keyring: dict[str, bytes] | None = None) -> DataFrame:
     """Records (seq and FIELDS) with prev_hash and hash. A batch of erasures is one short chain, so it is folded in one task."""
-    rows = records.withColumn("_c", canonical())
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "_c")))
-    step = lambda s, x: F.struct(linked(x["_c"], s["head"]).alias("head"), F.array_append(s["out"], F.struct(x["seq"].alias("seq"), s["head"].alias("prev_hash"), linked(x["_c"], s["head"]).alias("hash"))).alias("out"))
+    keyed = keyring is not None
+    rows = _with_pads(records, keyring).select("seq", canonical(VERSIONS[keyed]).alias("_c"), "ipad", "opad")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "_c", "ipad", "opad")))
+    own = lambda s, x: linked(x["_c"], s["head"], *((x["ipad"], x["opad"]) if keyed else ()))
+    step = lambda s, x: F.struct(own(s, x).alias("head"), F.array_append(s["out"], F.struct(x["seq"].alias("seq"), s["head"].alias("prev_hash"), own(s, x).alias("hash"))).alias("out"))
     start = F.struct(F.lit(GENESIS).alias("head"), F.array().cast("array<struct<seq:bigint,prev_hash:string,hash:string>>").alias("out"))
     links = rows.agg(F.aggregate(ordered, start, step, lambda s: s["out"]).alias("links")).select(F.inline("links"))
     return records.join(links, "seq")
 
 
-def verify(trail: DataFrame, head: str, count: int) -> DataFrame:
-    """One row: status (EMPTY, INTACT_UNKEYED, BROKEN, ANCHOR_MISMATCH), broken_at.
+def verify(trail: DataFrame, head: str | None, count: int, keyring: dict[str, bytes] | None = None) -> DataFrame:
+    """One row: status (EMPTY, INTACT, INTACT_UNKEYED, BROKEN, ANCHOR_MISMATCH, NO_ANCHOR), broken_at.
+
+    head and count are the anchor's; head None: there is none. With a keyring
+    the trail must be keyed, each record under a key of the ring.
 
     A row carries its predecessor's hash, so every hash is checked in parallel;
     only (seq, hash, prev_hash) are ordered to compare neighbours.
     """
-    own = trail.select("seq", "hash", "prev_hash", (F.col("hash") != linked(canonical(), F.col("prev_hash"))).alias("bad"))
+    keyed = keyring is not None
+    rows = _with_pads(trail, keyring)
+    stranger = F.col("ipad").isNull() if keyed else ~F.col("key_id").eqNullSafe(F.lit(UNKEYED))
+    right = linked(canonical(VERSIONS[keyed]), F.col("prev_hash"), *((F.col("ipad"), F.col("opad")) if keyed else ()))
+    own = rows.select("seq", "hash", "prev_hash", (stranger | ~F.col("hash").eqNullSafe(right)).alias("bad"))
     before = F.lag("hash", 1, GENESIS).over(Window.orderBy("seq"))
-    told = own.withColumn("bad", F.col("bad") | (F.col("prev_hash") != before))
+    told = own.withColumn("bad", F.col("bad") | ~F.col("prev_hash").eqNullSafe(before))
     sums = told.agg(F.count("*").alias("n"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("broken_at"), F.max_by("hash", "seq").alias("last"))
-    status = F.when((F.col("n") == 0) & (F.lit(count) == 0), "EMPTY").when(F.col("broken_at").isNotNull(), "BROKEN").when((F.col("n") != count) | ~F.col("last").eqNullSafe(F.lit(head)), "ANCHOR_MISMATCH").otherwise("INTACT_UNKEYED")
+    if head is None:
+        return sums.select(F.when(F.col("n") == 0, "EMPTY").otherwise("NO_ANCHOR").alias("status"), F.lit(None).cast("long").alias("broken_at"))
+    other = (F.col("n") != count) | (F.coalesce("last", F.lit(GENESIS)) != head)
+    status = F.when(F.col("broken_at").isNotNull(), "BROKEN").when(other, "ANCHOR_MISMATCH").when(F.col("n") == 0, "EMPTY").otherwise("INTACT" if keyed else "INTACT_UNKEYED")
     return sums.select(status.alias("status"), "broken_at")
 
 
+def after(trail: DataFrame, seq: int, limit: int) -> DataFrame:
+    """A page of the trail: at most `limit` (1 to 1000) records beyond seq."""
+    return trail.filter(F.col("seq") > seq).orderBy("seq").limit(min(max(limit, 1), 1000))
+
+
+def latest(trail: DataFrame) -> DataFrame:
+    """Each subject's record with the highest seq."""
+    return trail.groupBy("tenant", "subject_pseudonym").agg(F.max_by(F.struct(*trail.columns), "seq").alias("r")).select("r.*")
+
+
+def hook_material(hooks: Column) -> Column:
+    """Canonical text of an array of (hook, succeeded, detail)."""
+    return F.array_join(F.transform(hooks, lambda h: F.concat(part(h["hook"]), part(h["succeeded"].cast("string")), part(h["detail"]))), "")
+
+
+def outstanding(trail: DataFrame) -> DataFrame:
+    """Hooks (of hook_outcomes) that each subject's latest record names as not succeeded."""
+    named = latest(trail).select("tenant", "subject_pseudonym", "seq", F.explode("hook_outcomes").alias("h"))
+    return named.filter(~F.col("h.succeeded")).select("tenant", "subject_pseudonym", "seq", F.col("h.hook").alias("hook"), F.col("h.detail").alias("detail"))
+
+
 def pseudonym(df: DataFrame, secret: bytes) -> DataFrame:
     """df (tenant, subject) with subject_pseudonym."""
     ipad, opad = pads(hkdf(secret, b"sh/subject-pseudonym/v1"))

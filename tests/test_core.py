@@ -6,7 +6,11 @@ import pytest
 
 from emberseal.functions.crypto import hkdf, master_key
 from emberseal.errors import SealError
-from emberseal.plans import queries as Q
+from emberseal.operators.blind_index import normalised
+from emberseal.plans import erasure_queries, queries
+
+QUERIES = queries.queries() | erasure_queries.queries()
+SQL = queries.oracle_sql() | erasure_queries.oracle_sql()
 
 D = "/root/testdata/sf0.001"
 
@@ -15,13 +19,13 @@ def plain(x):
     return float(x) if isinstance(x, decimal.Decimal) else x
 
 
-@pytest.mark.parametrize("name", sorted(Q.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "orders", "nation"):
+    for t in ("customer", "orders", "nation", "events"):
         con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
-    got = Q.queries()[name](spark, D)
-    want = con.sql(Q.oracle_sql()[name])
+    got = QUERIES[name](spark, D)
+    want = con.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
     key = lambda r: tuple((x is None, str(x)) for x in r)
@@ -39,3 +43,9 @@ def test_master_key_refusals():
     for bad in ("x", "AAAA", "A" * 44):
         with pytest.raises(SealError):
             master_key(bad)
+
+
+def test_normalised_text(spark):
+    said = ["  ABC\t", "\uff21\uff22\u00a0", "Stra\u00dfe", "\ufb01x", "", None]
+    df = spark.createDataFrame([(x,) for x in said], "t string")
+    assert [r[0] for r in df.select(normalised(df.t)).collect()] == ["abc", "ab", "stra\u00dfe", "fix", "", None]
