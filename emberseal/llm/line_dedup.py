@@ -27,19 +27,22 @@ from .rowkeys import id_or_null, keyed
 BLANKS = " \t\n\x0b\f\r"
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), string.ascii_uppercase, string.ascii_lowercase)
+def line_key(bare: Column) -> Column:
+    """The stripped line with A-Z in lower case; lower() does the same, faster, where all is ASCII."""
+    ascii_only = F.octet_length(bare) == F.length(bare)
+    return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text and the columns named in carry, as they are."""
     rows = keyed(docs, F.struct(F.lit(0), *(F.col(f"`{c}`") for c in carry)).alias("carried"))
     lines = F.split("text", "\n", -1)
-    key = line_key(F.col("line"))
+    bare = F.btrim("line", F.lit(BLANKS))
     listed = (
         rows.select("doc_id", "text_hash", F.posexplode(lines).alias("place", "line"))
-        .select("doc_id", "text_hash", "place", key.alias("key"))
-        .filter(F.length("key") >= min_chars)
+        # Lower case keeps the length, so only lines that are long enough get it.
+        .filter((F.length("line") >= min_chars) & (F.length(bare) >= min_chars))
+        .select("doc_id", "text_hash", "place", line_key(bare).alias("key"))
         .select("doc_id", "text_hash", "place", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
     )
     frequent = listed.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter((F.col("n") >= min_docs) & (F.col("a") < F.col("z"))).select("h", "g", F.col("z").alias("last"))
