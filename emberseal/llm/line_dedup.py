@@ -1,13 +1,13 @@
 """Line dedup: lines found in too many documents stay only in the last of them.
 
-Native: lines are exploded, normalised and hashed; documents are counted per
-hash with map-side sums; lines over the threshold are dropped, and the rest is
-joined again by position. Two hashes of 64 and 32 bits stand for a key.
+Native: lines are exploded, normalised and hashed; distinct documents are
+counted per hash; lines over the threshold are dropped, and the rest is joined
+again by position. Two hashes of 64 and 32 bits stand for a key.
 
-Plan: a first count of lines per hash, pre-aggregated on the map side, leaves
-the few hashes that can reach the threshold; only their lines are counted by
-distinct document. A line that a third of all documents hold costs one row per
-map task there, and the join with it is one Spark can split.
+Plan: (hash, document) pairs are made distinct by both, so no key gathers in
+one task, and counted with map-side sums. Of the keys over the threshold at
+most HOT hold 1/HOT or more of all those pairs; these few are broadcast, so
+that their lines get a salt, and are repeated for every salt before the join.
 
 Edge cases: a null or empty text is one empty line; a null doc_id counts as
 one document that sorts before all others and comes back as null; rows that
@@ -22,8 +22,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable
 from .rowkeys import id_or_null, keyed
 
+HOT, SALTS = 1000, 64
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -35,6 +37,8 @@ def line_key(bare: Column) -> Column:
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text and the columns named in carry, as they are."""
+    if min_docs < 2:
+        raise ValueError("min_docs must be 2 or more")
     rows = keyed(docs, F.struct(F.lit(0), *(F.col(f"`{c}`") for c in carry)).alias("carried"))
     lines = F.split("text", "\n", -1)
     bare = F.btrim("line", F.lit(BLANKS))
@@ -45,12 +49,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: t
         .select("doc_id", "text_hash", "place", line_key(bare).alias("key"))
         .select("doc_id", "text_hash", "place", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
     )
-    frequent = listed.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter((F.col("n") >= min_docs) & (F.col("a") < F.col("z"))).select("h", "g", F.col("z").alias("last"))
-    if min_docs < 2:
-        raise ValueError("min_docs must be 2 or more")
-    held = listed.join(frequent, ["h", "g"])
-    counted = held.select("h", "g", "doc_id").distinct().groupBy("h", "g").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("h", "g")
-    gone = held.filter(F.col("doc_id") < F.col("last")).join(counted, ["h", "g"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("gone"))
+    counted = listed.select("h", "g", "doc_id").distinct().groupBy("h", "g").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
+    frequent = durable(counted.filter(F.col("docs") >= min_docs))
+    held = frequent.agg(F.sum("docs")).first()[0] or 0
+    hot = F.col("docs") >= max(held // HOT + 1, SALTS)
+    tagged = listed.join(F.broadcast(frequent.filter(hot).select("h", "g", F.lit(True).alias("hot"))), ["h", "g"], "left")
+    salted = tagged.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    spread = frequent.select("h", "g", "last", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
+    gone = salted.join(spread, ["h", "g", "salt"]).filter(F.col("doc_id") < F.col("last")).groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("gone"))
     joined = rows.join(gone, ["doc_id", "text_hash"], "left")
     # The generator keeps the split lines as a column: inside the lambda below they would be split again for each line.
     split = joined.withColumn("lines", F.explode(F.array(lines)))

@@ -105,3 +105,14 @@ def test_suffix_round_trip(spark):
 def test_quality_null(docs):
     got = quality_rules(docs).filter(F.col("doc_id") == 3).first()
     assert got.base_failed and not got.kept and got.n_words == 0
+
+
+def test_line_of_most_documents(spark):
+    """A line in so many documents that its rows are salted."""
+    from emberseal.llm.line_dedup import SALTS, line_dedup
+
+    hot, n = "this line is in nearly all the documents", 5 * SALTS
+    rows = [(i, f"{hot}\nown line of document number {i}" if i % 7 else f"own line of document number {i}") for i in range(n)]
+    got = {r.doc_id: r.kept_text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    last = max(i for i in range(n) if i % 7)
+    assert got == {i: text if i == last else f"own line of document number {i}" for i, text in rows}
