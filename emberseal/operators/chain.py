@@ -39,14 +39,14 @@ def _with_pads(records: DataFrame, keyring: dict[str, bytes] | None) -> DataFram
     return records.join(F.broadcast(table), "key_id", "left")
 
 
-def append(records: DataFrame, keyring: dict[str, bytes] | None = None) -> DataFrame:
-    """Records (seq and FIELDS) with prev_hash and hash. A batch of erasures is one short chain, so it is folded in one task."""
+def append(records: DataFrame, keyring: dict[str, bytes] | None = None, head: str = GENESIS) -> DataFrame:
+    """Records (seq and FIELDS) with prev_hash and hash, the first after head. A batch of erasures is one short chain, so it is folded in one task."""
     keyed = keyring is not None
     rows = _with_pads(records, keyring).select("seq", canonical(VERSIONS[keyed]).alias("_c"), "ipad", "opad")
     ordered = F.array_sort(F.collect_list(F.struct("seq", "_c", "ipad", "opad")))
     own = lambda s, x: linked(x["_c"], s["head"], *((x["ipad"], x["opad"]) if keyed else ()))
     step = lambda s, x: F.struct(own(s, x).alias("head"), F.array_append(s["out"], F.struct(x["seq"].alias("seq"), s["head"].alias("prev_hash"), own(s, x).alias("hash"))).alias("out"))
-    start = F.struct(F.lit(GENESIS).alias("head"), F.array().cast("array<struct<seq:bigint,prev_hash:string,hash:string>>").alias("out"))
+    start = F.struct(F.lit(head).alias("head"), F.array().cast("array<struct<seq:bigint,prev_hash:string,hash:string>>").alias("out"))
     links = rows.agg(F.aggregate(ordered, start, step, lambda s: s["out"]).alias("links")).select(F.inline("links"))
     return records.join(links, "seq")
 

@@ -30,18 +30,27 @@ def _random(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([os.urandom(32) for _ in range(b.num_rows)], pa.binary())], names=[*b.schema.names, "data_key"])
 
 
+def drawn(new: DataFrame, master: bytes) -> DataFrame:
+    """Rows of KEYS for (tenant, subject, version): random keys, wrapped. Each run draws others, so write before use."""
+    keyed = new.select("tenant", "subject", "version").mapInArrow(_random, "tenant string, subject string, version int, data_key binary")
+    return with_secret(keyed, "master", master).select("tenant", "subject", "version", seal_bytes(F.col("data_key"), F.col("master"), key_aad(F.col("tenant"), F.col("subject"), F.col("version"))).alias("wrapped_key"), F.lit("ACTIVE").alias("state"), F.lit(0).cast("long").alias("encryption_count"))
+
+
+def missing(subjects: DataFrame, *known: DataFrame | None) -> DataFrame:
+    """Version 1 of each (tenant, subject) that no known table has."""
+    new = subjects.select("tenant", "subject").distinct()
+    for table in known:
+        if table is not None:
+            new = new.join(table.select("tenant", "subject").distinct(), ["tenant", "subject"], "left_anti")
+    return new.withColumn("version", F.lit(1))
+
+
 def mint(subjects: DataFrame, keys: DataFrame | None, erased: DataFrame | None, master: bytes) -> DataFrame:
     """Version 1 for every (tenant, subject) without a key; erased subjects never get one.
 
     The result is written before use, so no later run makes other keys.
     """
-    new = subjects.select("tenant", "subject").distinct()
-    for known in (keys, erased):
-        if known is not None:
-            new = new.join(known.select("tenant", "subject").distinct(), ["tenant", "subject"], "left_anti")
-    drawn = new.withColumn("version", F.lit(1)).mapInArrow(_random, "tenant string, subject string, version int, data_key binary")
-    wrapped = with_secret(drawn, "master", master).select("tenant", "subject", "version", seal_bytes(F.col("data_key"), F.col("master"), key_aad(F.col("tenant"), F.col("subject"), F.col("version"))).alias("wrapped_key"), F.lit("ACTIVE").alias("state"), F.lit(0).cast("long").alias("encryption_count"))
-    made = stored(wrapped)
+    made = stored(drawn(missing(subjects, keys, erased), master))
     return made if keys is None else keys.unionByName(made)
 
 
