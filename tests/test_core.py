@@ -7,10 +7,10 @@ import pytest
 from emberseal.functions.crypto import hkdf, master_key
 from emberseal.errors import SealError
 from emberseal.operators.blind_index import normalised
-from emberseal.plans import erasure_queries, queries
+from emberseal.plans import erasure_queries, queries, vault_queries
 
-QUERIES = queries.queries() | erasure_queries.queries()
-SQL = queries.oracle_sql() | erasure_queries.oracle_sql()
+QUERIES = queries.queries() | erasure_queries.queries() | vault_queries.queries()
+SQL = queries.oracle_sql() | erasure_queries.oracle_sql() | vault_queries.oracle_sql()
 
 D = "/root/testdata/sf0.001"
 
