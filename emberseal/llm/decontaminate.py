@@ -1,16 +1,18 @@
 """Benchmark decontamination by canonical templates.
 
 Native: a text's words lose their case and outer punctuation; numbers, names
-and units become typed placeholders. Fingerprints of every `window` words come
+and units become typed placeholders. Fingerprints of every `window` words, as they are
+and in canonical form, come
 from doubling (pairs, pairs of pairs, ...), are exploded and hash-joined with
 those of the benchmark; the words of windows that meet are then compared. A
-window equal word for word is a leak. One that
+window equal word for word is a leak, whatever its words. One that
 equals only as a template, so with other numbers, names or units in its slots,
 is a leak if the slots are consistent: what stands once or more often in the
 benchmark's slots stands for one and the same thing in the document's.
 
-Windows need `literals` words that are no placeholders; items of fewer than
-`window` words cannot be told from common phrases and are not searched.
+Windows met as templates need `literals` words that are no placeholders. An
+item of fewer than `window` words is searched word for word, as one whole
+sequence: a very short one may be a common phrase and is reported all the same.
 
 Edge cases: null and empty texts have no windows; rows that share a doc_id are
 one document; null doc_ids are one document, returned as null; an empty
@@ -57,28 +59,45 @@ def _words(parts: Column, value) -> Column:
     return F.array_compact(F.zip_with(F.transform(parts, lambda x: F.btrim(x, F.lit(EDGE))), before, word))
 
 
-def _canonical(parts: Column) -> Column:
-    return _words(parts, lambda c, r: c)
+def _both(parts: Column) -> Column:
+    return _words(parts, lambda c, r: F.struct(c.alias("c"), r.alias("r")))
 
 
-def _both(text: Column) -> Column:
-    return _words(_parts(text), lambda c, r: F.struct(c.alias("c"), r.alias("r")))
+def _windows(rows: DataFrame, window: int, lengths: list[int]) -> DataFrame:
+    """rows (with `words` of _both) exploded into place, n, slots and t; drops words.
 
-
-def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """rows (with canonical `words`) exploded into place and t, the fingerprint of `window` words; drops words."""
+    t is the fingerprint of n words from place on: of the words themselves
+    (slots: 0) and, if n is `window`, of their canonical form where it differs
+    (slots: 1). n is `window` or one of the shorter `lengths`.
+    """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     # The generators keep each step as a column, or the lambdas above it would compute it twice.
-    out = rows.withColumn("p", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w))))).drop("words")
-    step = 1
+    out = rows.withColumn("p", F.explode(F.array(F.transform("words", lambda w: F.struct(F.xxhash64(w["c"]).alias("c"), F.xxhash64(w["r"]).alias("r")))))).drop("words")
+    others = [c for c in out.columns if c != "p"]
+    step, kept = 1, set()
     while step < window:
+        if any(n & step for n in lengths):
+            out = out.withColumn(f"r{step}", F.explode(F.array(F.transform("p", lambda x: x["r"]))))
+            kept.add(step)
         count = F.greatest(F.size("p") - step, F.lit(0))
-        pairs = F.zip_with(F.slice("p", F.lit(1), count), F.slice("p", F.lit(step + 1), count), lambda a, b: F.xxhash64(a, b))
+        pairs = F.zip_with(F.slice("p", F.lit(1), count), F.slice("p", F.lit(step + 1), count), lambda a, b: F.struct(F.xxhash64(a["c"], b["c"]).alias("c"), F.xxhash64(a["r"], b["r"]).alias("r")))
         out = out.withColumn("p", F.explode(F.array(pairs)))
         step *= 2
-    others = [c for c in out.columns if c != "p"]
-    return out.select(*others, F.posexplode("p").alias("place", "t"))
+    whole = out.select(*others, F.posexplode("p").alias("place", "x"))
+    both = whole.select(*others, "place", F.lit(window).alias("n"), F.posexplode(F.when(F.col("x.c") == F.col("x.r"), F.array("x.r")).otherwise(F.array("x.r", "x.c"))).alias("slots", "t"))
+    if not lengths:
+        return both
+    short = []
+    for n in lengths:
+        powers = [k for k in sorted(kept, reverse=True) if n & k]
+        runs, at = F.col(f"r{powers[0]}"), powers[0]
+        for k in powers[1:]:
+            count = F.greatest(F.size(f"r{k}") - at, F.lit(0))
+            runs = F.zip_with(F.slice(runs, F.lit(1), count), F.slice(f"r{k}", F.lit(at + 1), count), lambda a, b: F.xxhash64(a, b))
+            at += k
+        short.append(F.transform(runs, lambda t, i: F.struct(i.alias("place"), F.lit(n).alias("n"), F.lit(0).alias("slots"), t.alias("t"))))  # noqa: B023
+    return both.unionByName(out.select(*others, F.explode(F.concat(*short)).alias("x")).select(*others, "x.place", "x.n", "x.slots", "x.t"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 5) -> DataFrame:
@@ -88,21 +107,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, litera
     that match with other, consistent slots.
     """
     rows = keyed(docs)
-    items = durable(benchmark.select(F.col("item_id").cast("long").alias("item_id"), _both(F.coalesce(F.col("text"), F.lit(""))).alias("theirs")).filter(F.size("theirs") >= window).withColumn("item", F.xxhash64("item_id", "theirs")).dropDuplicates(["item"]))
-    held = _windows(items.select("item", "theirs", F.transform("theirs", lambda w: w["c"]).alias("words")), window)
-    literal = F.size(F.filter(F.slice("theirs", F.col("place") + 1, window), lambda w: ~w["c"].isin(NUMBER, NAME, UNIT)))
-    known = durable(held.filter(literal >= literals).select("t", "item", F.col("place").alias("item_place")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    items = durable(benchmark.select(F.col("item_id").cast("long").alias("item_id"), _both(_parts(text)).alias("theirs")).filter(F.size("theirs") > 0).withColumn("item", F.xxhash64("item_id", "theirs")).dropDuplicates(["item"]))
+    lengths = sorted(r.n for r in items.select(F.size("theirs").alias("n")).filter(F.col("n") < window).distinct().collect())
+    held = _windows(items.select("item", "theirs", F.col("theirs").alias("words")), window, lengths).filter(F.col("n") == F.least(F.size("theirs"), F.lit(window)))
+    literal = F.size(F.filter(F.slice("theirs", F.col("place") + 1, F.col("n")), lambda w: ~w["c"].isin(NUMBER, NAME, UNIT)))
+    held = held.select("t", "item", F.col("place").alias("item_place"), "n", "slots", literal.alias("literal"))
+    told_by_words = (F.col("literal") < literals) | (F.col("literal") == F.col("n")) | (F.col("n") < window)
+    plain = held.filter((F.col("slots") == 0) & told_by_words).dropDuplicates(["t", "item"])
+    known = durable(plain.unionByName(held.filter((F.col("slots") == 1) & (F.col("literal") >= literals))).drop("slots", "literal"))
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     cut = rows.select("doc_id", "text_hash", F.explode(F.array(_parts(F.col("text")))).alias("parts"))
-    found = _windows(cut.select("doc_id", "text_hash", _canonical(F.col("parts")).alias("words")), window)
-    hits = durable(found.join(F.broadcast(known) if small else known, "t").select("doc_id", "text_hash", "place", "item", "item_place").distinct())
+    found = _windows(cut.select("doc_id", "text_hash", _both(F.col("parts")).alias("words")), window, lengths).select("doc_id", "text_hash", "place", "t")
+    hits = durable(found.join(F.broadcast(known) if small else known, "t").select("doc_id", "text_hash", "place", "item", "item_place", "n").distinct())
     texts = rows.join(hits.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    own = texts.select("doc_id", "text_hash", _both(F.col("text")).alias("own"))
-    both = hits.join(own, ["doc_id", "text_hash"]).withColumn("own", F.slice("own", F.col("place") + 1, window))
-    both = both.join(items.select("item", "item_id", "theirs"), "item").withColumn("theirs", F.slice("theirs", F.col("item_place") + 1, window))
+    own = texts.select("doc_id", "text_hash", _both(_parts(F.col("text"))).alias("own"))
+    both = hits.join(own, ["doc_id", "text_hash"]).withColumn("own", F.slice("own", F.col("place") + 1, F.col("n")))
+    both = both.join(items.select("item", "item_id", "theirs"), "item").withColumn("theirs", F.slice("theirs", F.col("item_place") + 1, F.col("n")))
     slots = F.filter(F.zip_with("own", "theirs", lambda a, b: F.struct(b["c"].alias("c"), b["r"].alias("from"), a["r"].alias("to"))), lambda s: s["c"].isin(NUMBER, NAME, UNIT))
     told = both.select("doc_id", "place", "item_id", (F.transform("own", lambda w: w["r"]) == F.transform("theirs", lambda w: w["r"])).alias("verbatim"), (F.transform("own", lambda w: w["c"]) == F.transform("theirs", lambda w: w["c"])).alias("equal"), F.array_distinct(slots).alias("slots"))
-    fits = told.filter(F.col("equal") & (F.col("verbatim") | (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["c"], s["from"])))))))
+    fits = told.filter(F.col("verbatim") | (F.col("equal") & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["c"], s["from"])))))))
     places = fits.groupBy("doc_id", "place").agg(F.max("verbatim").alias("verbatim"), F.collect_set("item_id").alias("ids"))
     out = places.groupBy("doc_id").agg(F.count_if("verbatim").alias("n_windows"), F.count_if(~F.col("verbatim")).alias("n_templates"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
     return out.select(id_or_null(), "n_windows", "n_templates", "item_ids")

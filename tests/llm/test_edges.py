@@ -94,6 +94,20 @@ def test_changed_slots(spark):
     assert [r.doc_id for r in got] == [1] and got[0].n_templates > 0
 
 
+def leaks(spark, items, texts, **options):
+    """doc_id to item_ids of the texts that hold the items."""
+    item = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: list(r.item_ids) for r in decontaminate(d, item, **options).collect()}
+
+
+def test_verbatim_items_of_few_literals_or_words(spark):
+    items = ["Compute 12 + 7 * 3 - 45 / 9 + 81 - 6 * 2 = ?", "Which Old River Flows Through The Great Green Valley Of Kings", "What is the capital of Australia?", "one two three", "  ", "to be"]
+    texts = [f"Some words before. {items[0]} And after", f"Read this: {items[1]}", f"so. {items[2]} Canberra", "Compute 13 + 8 * 4 - 46 / 8 + 82 - 7 * 3 = ?", "What is the capital city of Australia?", "One, two, three to go", "one two four three"]
+    assert leaks(spark, items, texts) == {0: [0], 1: [1], 2: [2], 5: [3]}
+    assert leaks(spark, ["a b c d e f g", "x y z u v w"], ["1 a b c d e f g", "1 x y z u v w 2", "a b c d e f x"]) == {0: [0], 1: [1]}
+
+
 def test_suffix_round_trip(spark):
     t = LONG.encode()
     d = spark.createDataFrame([(1, LONG), (2, "x" + LONG + "y")], "doc_id long, text string")
