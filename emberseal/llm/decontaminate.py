@@ -113,8 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, litera
     held = _windows(items.select("item", "theirs", F.col("theirs").alias("words")), window, lengths).filter(F.col("n") == F.least(F.size("theirs"), F.lit(window)))
     literal = F.size(F.filter(F.slice("theirs", F.col("place") + 1, F.col("n")), lambda w: ~w["c"].isin(NUMBER, NAME, UNIT)))
     held = held.select("t", "item", F.col("place").alias("item_place"), "n", "slots", literal.alias("literal"))
-    told_by_words = (F.col("literal") < literals) | (F.col("literal") == F.col("n")) | (F.col("n") < window)
-    plain = held.filter((F.col("slots") == 0) & told_by_words).dropDuplicates(["t", "item"])
+    plain = held.filter("slots = 0").dropDuplicates(["t", "item"])
     known = durable(plain.unionByName(held.filter((F.col("slots") == 1) & (F.col("literal") >= literals))).drop("slots", "literal"))
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     cut = rows.select("doc_id", "text_hash", F.explode(F.array(_parts(F.col("text")))).alias("parts"))

@@ -108,6 +108,13 @@ def test_verbatim_items_of_few_literals_or_words(spark):
     assert leaks(spark, ["a b c d e f g", "x y z u v w"], ["1 a b c d e f g", "1 x y z u v w 2", "a b c d e f x"]) == {0: [0], 1: [1]}
 
 
+def test_verbatim_whatever_the_capitals(spark):
+    german = "Die Mutter kauft am Montag frische Brötchen und der Vater holt am Dienstag Milch aus dem Laden im Dorf"
+    items = [german, "Where do the small grey birds sleep tonight"]
+    texts = [german.lower(), f"he asked me, {items[1]}", f"and {items[1].lower()} he said", german.upper().replace("MILCH", "SAFT").replace("MONTAG", "SONNTAG")]
+    assert leaks(spark, items, texts) == {0: [0], 1: [1], 2: [1], 3: [0]}
+
+
 def test_suffix_round_trip(spark):
     t = LONG.encode()
     d = spark.createDataFrame([(1, LONG), (2, "x" + LONG + "y")], "doc_id long, text string")
