@@ -137,3 +137,21 @@ def test_line_of_most_documents(spark):
     got = {r.doc_id: r.kept_text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     last = max(i for i in range(n) if i % 7)
     assert got == {i: text if i == last else f"own line of document number {i}" for i, text in rows}
+
+
+PROSE = "the boat left the small harbour before noon and nobody on the quay looked up from the nets they were mending while gulls cried over it".split()
+
+
+def amid(notice, n):
+    """The notice after and before n words of prose, in one line."""
+    around = " ".join(PROSE[i % len(PROSE)] for i in range(n))
+    return f"{around} {notice} {around}"
+
+
+def test_notices_amid_long_lines(spark):
+    # None is word for word an entry of TEMPLATES.
+    notices = {"mit": "The sources may be used under the MIT licence.", "apache": "You can use this library under the Apache License 2.0.", "lgpl": "this program is licensed under the GNU Lesser General Public License"}
+    rows = [(f, n, amid(t, n)) for f, t in notices.items() for n in (20, 100, 200, 3000)]
+    d = spark.createDataFrame([(i, "first line\n" + t) for i, (_, _, t) in enumerate(rows)] + [(99, amid("they asked for permission to enter", 200))], "doc_id long, text string")
+    got = {r.doc_id: (r.paragraph, r.family) for r in license_scan(d).filter("family <> 'unknown'").collect()}
+    assert got == {i: (1, f) for i, (f, _, _) in enumerate(rows)}
