@@ -155,3 +155,15 @@ def test_notices_amid_long_lines(spark):
     d = spark.createDataFrame([(i, "first line\n" + t) for i, (_, _, t) in enumerate(rows)] + [(99, amid("they asked for permission to enter", 200))], "doc_id long, text string")
     got = {r.doc_id: (r.paragraph, r.family) for r in license_scan(d).filter("family <> 'unknown'").collect()}
     assert got == {i: (1, f) for i, (f, _, _) in enumerate(rows)}
+
+
+def test_notices_of_all_languages_and_unknown_ones(spark):
+    want = {
+        "The code is GPLv3.": "gpl", "Distributed under the terms of the GNU GPL v2 or later.": "gpl", "Released under CC0 1.0 Universal.": "public_domain", "MIT-Lizenz": "mit",
+        "Lizenziert unter Apache 2.0": "apache", "Ce logiciel est sous licence MIT": "mit", "Distribuido bajo la licencia MIT": "mit", "ISC License": "unknown",
+        "The driver lost the licence after a long trial": "unknown", "xlicensey": "unknown", "no such word here": None,
+    }
+    d = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan(d).collect()}
+    assert {i: got[i].family if i in got else None for i in range(len(want))} == dict(enumerate(want.values()))
+    assert all(r.similarity == 0 and not r.confirmed and 0 <= r.probability <= 1 for r in got.values() if r.family == "unknown")
