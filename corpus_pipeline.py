@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberseal.llm.decontaminate import decontaminate
@@ -18,14 +18,14 @@ from emberseal.llm.near_dedup import near_dedup
 from emberseal.llm.packing import pack
 from emberseal.llm.quality_rules import quality_rules
 from emberseal.llm.queries import tokenizer_files
-from emberseal.llm.rowkeys import NO_ID
+from emberseal.llm.rowkeys import NO_ID, with_own_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; rows that share a doc_id stay or go together."""
-    kept = quality_rules(docs).groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).filter("kept").select("doc_id")
+    """Documents that the rules keep; rows equal in doc_id and text stay or go together."""
+    kept = quality_rules(docs.withColumn("doc_id", _key())).groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).filter("kept").select("doc_id")
     return _only(docs, kept, "left_semi")
 
 
@@ -44,17 +44,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least doc_id; of rows that share a doc_id, the least by text and other columns."""
-    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
-    kept = near_dedup(docs).filter("kept").select(key)
+    """One document of each group: the one with the least doc_id; of rows that share a doc_id, the least by text and other columns.
+
+    Of rows without a doc_id, only those of equal text are one document.
+    """
+    rows, _ = with_own_ids(docs, F.struct(*COLUMNS).alias("r"))
+    kept = near_dedup(rows.select("doc_id", "text")).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"))
     # One partitioning by key serves the join and the aggregation.
-    least = docs.select(key, F.struct(*COLUMNS).alias("r")).join(kept, "key", "left_semi").groupBy("key").agg(F.min("r").alias("r"))
+    least = rows.select(F.col("doc_id").alias("key"), "r").join(kept, "key", "left_semi").groupBy("key").agg(F.min("r").alias("r"))
     return least.select("r.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    leaks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id")
+    """Documents without a benchmark passage; rows equal in doc_id and text stay or go together."""
+    leaks = decontaminate(docs.withColumn("doc_id", _key()), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id")
     return _only(docs, leaks, "left_anti")
 
 
@@ -66,9 +69,15 @@ STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near
 ORACLE_SQL = None
 
 
+def _key() -> Column:
+    """Equal for rows of equal doc_id and text; it has 64 bits, as other fingerprints."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = ids.withColumnRenamed("doc_id", "id")
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), how)
+    """Rows whose _key() is (left_semi) or is not (left_anti) among ids."""
+    ids = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    return docs.select(*COLUMNS).join(ids, _key() == F.col("id"), how)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

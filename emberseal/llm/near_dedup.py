@@ -24,8 +24,9 @@ Sizes bound similarity, so pairs of unlike sizes are dropped early. A pair at
 
 Edge cases: null, empty and blank texts have no shingles and link with none; a
 text of fewer words than a shingle is one shingle; rows that share a doc_id
-are one document (each comes back with its own n_shingles); null doc_ids are
-one document before all others, returned as null; an empty table gives no
+are one document (each comes back with its own n_shingles), but of rows with a
+null doc_id each text is a document of its own, before all others, returned as
+null; an empty table gives no
 rows; other columns are not looked at.
 """
 
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from . import textnum as T
 from .components import components
 from .durable import durable
-from .rowkeys import NO_ID, id_or_null, keyed
+from .rowkeys import id_or_null, with_own_ids
 
 REGISTERS, BAND_ROWS, BANDS = 128, 5, 25
 BLOCK = 256
@@ -199,7 +200,7 @@ def _checked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, pe
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable), kept."""
-    rows = keyed(docs)
+    rows, last = with_own_ids(docs)
     sketches = durable(rows.select("doc_id", "text").mapInArrow(_sketch(shingle), "doc_id long, n long, k1 long, k2 long, regs binary, bands array<long>"))
     filled = sketches.filter("n > 0")
     sets = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
@@ -235,4 +236,4 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     more = durable(blocks.groupBy("centre", "i", "j").applyInArrow(_across(shingle, percent), "a long, b long"))
     final = components(linked(stars).unionByName(more).unionByName(same))
     joined = sketches.select("doc_id", "n").join(final.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    return joined.select(id_or_null(), F.col("n").alias("n_shingles"), F.when(F.col("c") != NO_ID, F.col("c")).alias("component_id"), (F.col("doc_id") == F.col("c")).alias("kept"))
+    return joined.select(id_or_null(last=last), F.col("n").alias("n_shingles"), F.when(F.col("c") > last, F.col("c")).alias("component_id"), (F.col("doc_id") == F.col("c")).alias("kept"))
