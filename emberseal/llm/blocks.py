@@ -12,7 +12,7 @@ Both duplicate-span operators work in the same rounds:
 4. The block, dealt out by the same exchange, reads its bitmaps.
 
 No row leaves a block twice and nothing is gathered on the driver but one row
-of totals and the block borders, whose number is the number of blocks.
+of totals and the block borders, at most MAX_BLOCKS of them.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NO_ID = -(1 << 63)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, MAX_BLOCK_BYTES, MAX_BLOCKS = 4 << 20, 64 << 20, 1_000_000
 PACKED = "shard int, block int, n int, packed binary"
 MARKS = "block int, shard int, round int, marks binary"
 
@@ -47,32 +48,31 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
     """Blocks of consecutive doc_ids, about `block_bytes` of text each.
 
     Rows that share a doc_id share a block. The block size grows with the
-    square root of the input beyond 4 TB, so that shards keep long lists.
+    square root of the input beyond 4 GB, up to MAX_BLOCK_BYTES, so that
+    blocks and shards both stay few; there are at most MAX_BLOCKS.
     """
     # One shape for all uses, so that Spark deals the texts out only once.
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    block_bytes = max(block_bytes, int(math.sqrt(total) * 2))
+    block_bytes = max(block_bytes, min(MAX_BLOCK_BYTES, int(math.sqrt(total) * 64)), total // MAX_BLOCKS)
     n = max(1, math.ceil(total / block_bytes))
     borders: list[int] = []
     if n > 1:
         cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"]
         borders = sorted(set(cuts))
-    block = F.array_size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < F.col("doc_id"))) if len(borders) <= 16 else _search(borders)
-    frame = rows.withColumn("block", block.cast("int")).repartition(max(1, math.ceil(n / 4)), "block")
+    frame = rows.withColumn("block", _number(docs, borders)(F.col("doc_id"))).repartition(max(1, math.ceil(n / 4)), "block")
     return Blocks(frame, total)
 
 
-def _search(borders: list[int]):
-    """The number of borders below doc_id, by a balanced tree of comparisons over at most 64 leaves, then a short filter."""
+def _number(docs: DataFrame, borders: list[int]):
+    """The number of borders below an id. They are broadcast (8 MB at most), so the plan holds none of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(borders, np.int64))
 
-    def tree(lo: int, hi: int):
-        if hi - lo <= 16:
-            return F.lit(lo) + F.array_size(F.filter(F.array(*map(F.lit, borders[lo:hi])), lambda b: b < F.col("doc_id")))
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= borders[mid], tree(lo, mid)).otherwise(tree(mid, hi))
+    @F.pandas_udf("int")
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, ids.to_numpy()).astype(np.int32))
 
-    return tree(0, len(borders))
+    return number
 
 
 def planes(x: np.ndarray) -> bytes:

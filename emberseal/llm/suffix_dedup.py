@@ -3,40 +3,49 @@
 A byte is removed if it lies in a `width`-byte string that also starts
 earlier: in a document with a smaller doc_id, or before it in the same one.
 
-Indexing every suffix of a corpus costs far more than its long matches are
+An entry for every byte of the corpus costs far more than its long matches are
 worth, so the suffix arrays are sparse. Among the `gram`-byte strings inside a
 `width`-byte string, the one with the least fingerprint (leftmost if equal) is
-its anchor; equal strings have their anchors at equal places. Consecutive
-starts with one anchor make a run, and the bytes that a run's strings span are
-its content. A suffix array here holds one entry for each run, ordered by the
-fingerprint of that content.
-
-Round 1. Blocks of documents are the batches. In each fingerprint shard, the
-batches come in document order. A new batch is merge-scanned against all
-levels of the index; entries found there are repeats; the others become a new
-level, and equal-sized levels merge, so that n batches keep at most log2(n)
-levels. At the end, anchors with two or more distinct contents are marked:
-strings may be shared between contents that differ.
-Round 2. Only for the first run of each such content, the fingerprints of
-every single string are listed, and go through the same index.
-
-So copies cost one entry per block, and work on single strings is done only
-where distinct texts overlap. Both rounds are exact up to equal 64-bit
-fingerprints of different strings.
+its anchor; equal strings have equal anchors at equal places. Consecutive
+starts with one anchor make a run; the suffix at a run's first start, up to the
+end of its last string, holds all of its strings.
+
+1. Blocks of documents list the fingerprints of their anchors, and shards over
+   all blocks tell which anchors stand in two places at least. This only rules
+   out suffixes that match nowhere.
+2. The suffixes of the other runs go to their anchor's shard. There each block
+   is a batch: its suffixes are sorted by their bytes, and the suffix array is
+   merge-scanned against all levels of the index. The common prefix with its
+   neighbours there tells how many leading strings of a run were seen; suffixes
+   that were not seen whole become a new level, and levels of equal size merge,
+   so n batches keep at most log2(n) levels.
+3. Strings may also be shared between suffixes that differ. So, for anchors
+   with two or more suffixes, a suffix array of all their strings is scanned.
+
+All three compare bytes. An anchor with HOT or more suffixes, as on the border
+of a passage that half of the documents hold, would gather them all in one
+shard, so its strings are dealt by their own fingerprints (128 bits) instead
+of step 2, and only those are compared.
+
+`SuffixStore` keeps the family on disk, so that a later batch of documents is
+scanned against those before it.
 
 Edge cases: a null text is empty; a null doc_id sorts before every other and
 comes back as null; rows that share a doc_id follow each other ordered by
 text, and an equal later row counts as later; texts under `width` bytes keep
-all; removed bytes may leave text that is no UTF-8, so the operator returns
-binary; other columns are not looked at; an empty table gives no rows.
+all; a long text is worked on in pieces; removed bytes may leave text that is
+no UTF-8, so the operator returns binary; other columns are not looked at; an
+empty table gives no rows, and one without repeats comes back whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,29 +54,52 @@ from . import textnum as T
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 PIECE_BYTES = 1 << 20
-#: Entries of a shard, for which the index takes some 100 bytes each.
-SHARD_KEYS = 1 << 19
-_PLACE_BITS = 31  # no column value is longer
+#: Anchors in a shard of step 1, and runs in one of step 2 if all of them repeat.
+SHARD_KEYS, SHARD_RUNS = 1 << 19, 1 << 17
+#: Strings that are sorted at a time in step 3.
+SCAN_STRINGS = 1 << 17
+HOT = 1 << 14
+_PLACE_BITS = 24  # a piece has fewer bytes
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the rows of two byte matrices, at most `most`."""
+    differ = a != b
+    at = differ.argmax(1)
+    return np.minimum(np.where(differ[np.arange(len(at)), at], at, a.shape[1]), most)
 
 
 class LevelIndex:
-    """Sorted runs of fingerprints whose sizes fall geometrically."""
+    """Suffix arrays whose sizes fall geometrically.
+
+    A suffix is a row of `wide` bytes, padded with zeros, and one more byte:
+    how many strings of `width` bytes start in it. Rows are in byte order.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, width: int, wide: int) -> None:
+        self.width, self.wide = width, wide
         self.levels: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, prints: np.ndarray, *more: np.ndarray) -> np.ndarray:
-        """Merge-scans a sorted batch of distinct fingerprints; returns which were there."""
-        seen = np.zeros(len(prints), bool)
+    def bytes_of(self, rows: np.ndarray) -> np.ndarray:
+        return rows.view(np.uint8).reshape(-1, self.wide + 1)
+
+    def add(self, rows: np.ndarray, *more: np.ndarray) -> np.ndarray:
+        """Scans a sorted batch of distinct suffixes against the levels; returns how many leading strings of each were there."""
+        own = self.bytes_of(rows)
+        count = own[:, -1].astype(np.int64)
+        found = np.zeros(len(rows), np.int64)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level[0], prints), len(level[0]) - 1)
-            seen |= level[0][at] == prints
-        new = tuple(x[~seen] for x in (prints, *more))
+            there, at = self.bytes_of(level[0]), np.searchsorted(level[0], rows)
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(there) - 1)):
+                long = common_prefix(own[:, :-1], there[near, :-1], np.minimum(count, there[near, -1]) + self.width - 1)
+                found = np.maximum(found, long - self.width + 1)
+        fresh = found < count
+        new = tuple(x[fresh] for x in (rows, *more))
         while len(new[0]) and self.levels and len(self.levels[-1][0]) < 2 * len(new[0]):
             new = self._merged(self.levels.pop(), new)
         if len(new[0]):
             self.levels.append(new)
-        return seen
+        return found
 
     def all(self) -> tuple[np.ndarray, ...] | None:
         while len(self.levels) > 1:
@@ -77,7 +109,7 @@ class LevelIndex:
 
     @staticmethod
     def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")  # finds the two sorted parts and merges them
         return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
 
 
@@ -89,167 +121,255 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
+def _pieces(offs: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First and last byte number, and row borders from the first on. A long row comes in pieces that share width - 1 bytes."""
+    for a, b in T.pieces(offs, PIECE_BYTES):
+        base, stop = int(offs[a]), int(offs[b])
+        if stop - base <= 2 * PIECE_BYTES:
+            yield base, stop, offs[a : b + 1] - base
+        else:
+            for at in range(base, stop - width + 1, PIECE_BYTES):
+                end = min(at + PIECE_BYTES + width - 1, stop)
+                yield at, end, np.array([0, end - at])
+
+
 class Runs:
     """The runs of a block in text order.
 
-    start, end: first and last string of the run, as byte numbers of the block.
-    key: fingerprint of the anchor; content: of all bytes spanned and of where
-    the anchor lies in them. look_at(mask) fills at and string: starts and
-    fingerprints of all strings of the chosen runs.
+    start: number of the first string's first byte; count: strings in the run;
+    key: fingerprint of the anchor; content: of all bytes spanned.
     """
 
     def __init__(self, text: pa.Array, width: int, gram: int) -> None:
-        data, offs = T.as_bytes(text)
-        self.offs, self.raw, self.width = offs, data, width
-        self.at, self.string = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.raw, self.offs = T.as_bytes(text)
+        self.width = width
         got: list[list[np.ndarray]] = [[], [], [], []]
-        for a, b in T.pieces(offs, PIECE_BYTES):
-            base = int(offs[a])
-            chunk, rows = data[base : offs[b]], offs[a : b + 1] - base
-            if len(chunk) < width:
+        for base, stop, rows in _pieces(self.offs, width):
+            if stop - base < width:
                 continue
-            prefix = T.prefix_hash(chunk)
-            place = np.arange(len(chunk) - gram + 1)
-            grams = T.mix(T.range_hash(prefix, place, place + gram))
-            least = _sliding_min((grams & ~np.uint64((1 << _PLACE_BITS) - 1)) | place.astype(np.uint64), width - gram + 1)
+            prefix = T.prefix_hash(self.raw[base:stop])
+            places = stop - base - width + 1
+            grams = T.mix((prefix[gram:] - prefix[:-gram]) * T.powers(len(prefix))[1][: len(prefix) - gram])
+            least = _sliding_min((grams & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(grams)).astype(np.uint64), width - gram + 1)
             anchor = (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-            fits = T.covered(rows[:-1][np.diff(rows) >= width], 1, len(anchor) + 1)[:-1]
-            ok = np.zeros(len(anchor) + 1, np.int32)
-            np.add.at(ok, np.minimum(rows[:-1], len(anchor)), np.diff(rows) >= width)
-            np.add.at(ok, np.minimum(np.maximum(rows[1:] - width + 1, rows[:-1]), len(anchor)), -(np.diff(rows) >= width).astype(np.int32))
-            ok = np.cumsum(ok[:-1]) > 0
+            holds = np.diff(rows) >= width
+            steps = np.zeros(places + 1, np.int32)
+            np.add.at(steps, rows[:-1][holds], 1)
+            np.add.at(steps, rows[1:][holds] - width + 1, -1)
+            ok = np.cumsum(steps[:-1]) > 0
             head = ok.copy()
             head[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1])
-            head |= fits & ok
+            head[rows[:-1][holds]] = True
             s = np.flatnonzero(head)
             tail = ok.copy()
             tail[:-1] &= head[1:] | ~ok[1:]
             e = np.flatnonzero(tail)
-            at = anchor[s]
-            content = T.mix(T.range_hash(prefix, s, e + width) ^ T.mix((at - s).astype(np.uint64) * np.uint64(width) + (e - s).astype(np.uint64) + np.uint64(1)))
-            for x, y in zip(got, (s + base, e + base, grams[at], content), strict=True):
+            content = T.mix(T.range_hash(prefix, s, e + width) ^ T.mix((e - s + 1).astype(np.uint64)))
+            # Least fingerprints crowd at zero; mixed anew, they are spread over all shards.
+            for x, y in zip(got, (s + base, e - s + 1, T.mix(grams[anchor[s]] ^ np.uint64(T.BASE)), content), strict=True):
                 x.append(y)
-        self.start, self.end, self.key, self.content = (_join(x, t) for x, t in zip(got, (np.int64, np.int64, np.uint64, np.uint64), strict=True))
-
-    def look_at(self, want: np.ndarray) -> None:
-        starts, strings = [], []
-        chosen = np.flatnonzero(want)
-        s, n = self.start[chosen], (self.end - self.start)[chosen] + 1
-        for a, b in T.pieces(self.offs, PIECE_BYTES):
-            base, stop = int(self.offs[a]), int(self.offs[b])
-            i, j = np.searchsorted(s, [base, stop])
+        self.start, self.count, self.key, self.content = (_join(x, t) for x, t in zip(got, (np.int64, np.int64, np.uint64, np.uint64), strict=True))
+        order = np.lexsort((self.content, self.key))
+        k, c = self.key[order], self.content[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        first = order[new]
+        #: First runs of distinct contents, by key and then by place.
+        self.first = first[np.lexsort((first, self.key[first]))]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys, how many contents each has, and the key number of each of `first`."""
+        keys, number, counts = np.unique(self.key[self.first], return_inverse=True, return_counts=True)
+        return keys, counts, number
+
+    def suffixes(self, runs: np.ndarray, wide: int) -> tuple[bytes, np.ndarray]:
+        """The bytes of these runs end to end, and where each begins (and the end)."""
+        size = self.count[runs] + self.width - 1
+        parts, padded = [], np.concatenate([self.raw, np.zeros(wide, np.uint8)])
+        for i in range(0, len(runs), 1 << 16):
+            rows = sliding_window_view(padded, wide)[self.start[runs[i : i + (1 << 16)]]]
+            parts.append(rows[np.arange(wide) < size[i : i + (1 << 16), None]])
+        return _join(parts, np.uint8).tobytes(), np.concatenate([[0], np.cumsum(size)])
+
+    def strings(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of all strings of these runs, in text order, and their fingerprints in two parts."""
+        runs, half = np.sort(runs), self.width // 3
+        s, n = self.start[runs], self.count[runs]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for base, stop, _ in _pieces(self.offs, self.width):
+            i, j = np.searchsorted(s, [base, max(base, stop - self.width + 1)])
             if i < j:
-                before = np.concatenate([[0], np.cumsum(n[i:j])])
-                at = np.repeat(s[i:j] - before[:-1], n[i:j]) + np.arange(before[-1])
-                starts.append(at)
-                strings.append(T.mix(T.range_hash(T.prefix_hash(self.raw[base:stop]), at - base, at - base + self.width)))
-        self.at, self.string = _join(starts, np.int64), _join(strings, np.uint64)
+                at, prefix = _starts(s[i:j], n[i:j]) - base, T.prefix_hash(self.raw[base:stop])
+                whole, left = T.range_hash(prefix, at, at + self.width), T.range_hash(prefix, at, at + half)
+                for x, y in zip(out, (at + base, T.mix(whole), T.mix(T.mix(left) * np.uint64(T.BASE) + T.range_hash(prefix, at + half, at + self.width))), strict=True):
+                    x.append(y)
+        return _join(out[0], np.int64), _join(out[1], np.uint64), _join(out[2], np.uint64)
 
 
 def _join(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _first_of_each(key: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """First occurrences of distinct pairs, ordered by (key, content)."""
-    order = np.lexsort((content, key))
-    k, c = key[order], content[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    return order[new]
+def _starts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (count of them) for each, end to end."""
+    before = np.concatenate([[0], np.cumsum(count)])
+    return np.repeat(first - before[:-1], count) + np.arange(before[-1])
+
+
+def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first of each distinct pair, ordered by (hi, lo), and the rank of each pair."""
+    order = np.lexsort((lo, hi))
+    new = np.ones(len(order), bool)
+    new[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order[new], rank
 
 
-def _list_runs(width: int, gram: int, shards: int):
-    def listed(table: pa.Table) -> pa.Table:
+class Plan:
+    """What the steps share: widths and numbers of shards. `hot` is the number of suffixes from which a key is hot."""
+
+    def __init__(self, width: int, gram: int, total_bytes: int, hot: int = HOT, shards: tuple[int, int] | None = None) -> None:
+        if not 0 < gram <= width or width - gram >= 255:
+            raise ValueError("gram must be from width - 254 to width")
+        runs = total_bytes / max(1.0, (width - gram) / 2)
+        self.width, self.gram, self.wide, self.hot = width, gram, 2 * width - gram, hot
+        self.shards, self.shards_2 = shards or (int(runs // SHARD_KEYS) + 1, int(runs // SHARD_RUNS) + 1)
+
+    def list_keys(self, table: pa.Table) -> pa.Table:
+        """Step 1, block: its keys, and of how many contents."""
         block, _, text = B.block_rows(table)
-        runs = Runs(text, width, gram)
-        first = _first_of_each(runs.key, runs.content)
-        return B.shard_rows(block, runs.key[first], shards, runs.content[first])
-
-    return listed
-
-
-def _scan_runs(table: pa.Table) -> pa.Table:
-    """Round 1: repeats (1), and first runs of contents that share an anchor (2)."""
-    shard, index, out, sizes = table.column("shard")[0].as_py(), LevelIndex(), [], {}
-    for block, n, packed in B.packed_rows(table):
-        key, content = B.unplanes(packed[: 8 * n], n), B.unplanes(packed[8 * n :], n)
-        prints = T.mix(key * np.uint64(T.BASE) + content)
-        order = np.argsort(prints)
-        seen = index.add(prints[order], key[order], np.full(n, block, np.int32), order.astype(np.int32))
-        bits = np.zeros(n, bool)
-        bits[order] = seen
-        out.append((block, shard, 1, bits))
-        sizes[block] = n
-    if found := index.all():
-        _, key, owner, place = found
-        order = np.argsort(key, kind="stable")
+        keys, counts, _ = Runs(text, self.width, self.gram).keys()
+        return B.shard_rows(block, keys, self.shards, np.minimum(counts, 65535).astype(np.uint16))
+
+    def scan_keys(self, table: pa.Table) -> pa.Table:
+        """Step 1, shard: keys of two or more contents (1), and of `hot` or more (2)."""
+        shard, got = table.column("shard")[0].as_py(), list(B.packed_rows(table))
+        keys = np.concatenate([B.unplanes(p, n) for _, n, p in got])
+        counts = np.concatenate([B.unplanes(p[8 * n :], n, np.uint16) for _, n, p in got]).astype(np.int64)
+        _, back = np.unique(keys, return_inverse=True)
+        total = np.bincount(back, weights=counts)[back]
+        cuts = np.cumsum([0, *(n for _, n, _ in got)])
+        return B.marks_table([(b, shard, r, (total >= least)[i:j]) for r, least in ((1, 2), (2, self.hot)) for (b, _, _), i, j in zip(got, cuts, cuts[1:], strict=False)])
+
+    def told(self, text: pa.Array, marks: pa.Table) -> tuple[Runs, np.ndarray, np.ndarray]:
+        """The block's runs; those of `first` that step 2 compares, and those whose strings are dealt one by one."""
+        runs = Runs(text, self.width, self.gram)
+        keys, _, number = runs.keys()
+        shared, hot = (B.read_marks(marks, r, keys, self.shards)[number] for r in (1, 2))
+        return runs, runs.first[shared & ~hot], runs.first[shared & hot]
+
+    def list_suffixes(self, left: pa.Table, marks: pa.Table) -> pa.Table:
+        """Step 2, block: its suffixes, and strings of hot keys, for shards beyond the others."""
+        if not left.num_rows or not marks.num_rows:
+            return B.shard_rows(0, np.zeros(0, np.uint64), 1)
+        block, _, text = B.block_rows(left)
+        runs, cold, hot = self.told(text, marks)
+        raw, at = runs.suffixes(cold, self.wide)
+        cuts = np.searchsorted(B.shard_of(runs.key[cold], self.shards_2), np.arange(self.shards_2 + 1))
+        used = [i for i in range(self.shards_2) if cuts[i] < cuts[i + 1]]
+        packed = [B.planes(runs.key[cold[a:b]]) + runs.count[cold[a:b]].astype(np.uint8).tobytes() + raw[at[a] : at[b]] for a, b in ((cuts[i], cuts[i + 1]) for i in used)]
+        rows = pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "n": pa.array([int(cuts[i + 1] - cuts[i]) for i in used], pa.int32()), "packed": pa.array(packed, pa.binary())})
+        if not len(hot):
+            return rows
+        _, hi, lo = runs.strings(hot)
+        one, _ = _distinct(hi, lo)
+        strings = B.shard_rows(block, hi[one], self.shards_2, lo[one])
+        return pa.concat_tables([rows, strings.set_column(0, "shard", pa.array(strings.column("shard").to_numpy() + self.shards_2, pa.int32()))])
+
+    def scan(self, table: pa.Table) -> pa.Table:
+        shard, got = table.column("shard")[0].as_py(), list(B.packed_rows(table))
+        return self._scan_strings(shard, got) if shard >= self.shards_2 else self._scan_suffixes(shard, got)
+
+    def _scan_strings(self, shard: int, got: list[tuple[int, int, bytes]]) -> pa.Table:
+        """Which strings an earlier block lists too (4)."""
+        hi, lo = (np.concatenate([B.unplanes(p[skip * n :], n) for _, n, p in got]) for skip in (0, 8))
+        order = np.lexsort((lo, hi))  # stable: earlier blocks stand first
+        again = np.zeros(len(hi), bool)
+        again[order[1:]] = (hi[order][1:] == hi[order][:-1]) & (lo[order][1:] == lo[order][:-1])
+        cuts = np.cumsum([0, *(n for _, n, _ in got)])
+        return B.marks_table([(b, shard - self.shards_2, 4, again[i:j]) for (b, _, _), i, j in zip(got, cuts, cuts[1:], strict=False)])
+
+    def _scan_suffixes(self, shard: int, got: list[tuple[int, int, bytes]]) -> pa.Table:
+        """Which strings of the suffixes stand earlier (3): a bit for each, in the order listed."""
+        index, done, cuts, gone = LevelIndex(self.width, self.wide), 0, [0], []
+        for _, n, packed in got:
+            key, count = B.unplanes(packed, n), np.frombuffer(packed, np.uint8, n, 8 * n)
+            rows = np.zeros((n, self.wide + 1), np.uint8)
+            rows[:, :-1][np.arange(self.wide) < count[:, None] + np.int64(self.width - 1)] = np.frombuffer(packed, np.uint8, offset=9 * n)
+            rows[:, -1] = count
+            rows = rows.reshape(-1).view(f"S{self.wide + 1}")
+            order = np.argsort(rows, kind="stable")
+            place = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+            found = index.add(rows[order], key[order], place[:-1][order] + done)
+            bits = np.zeros(place[-1], bool)
+            bits[_starts(place[:-1][order], found)] = True
+            gone.append(bits)
+            done += int(place[-1])
+            cuts.append(done)
+        told = np.concatenate(gone)
+        told[self._shared(index)] = True
+        return B.marks_table([(b, shard, 3, told[i:j]) for (b, _, _), i, j in zip(got, cuts, cuts[1:], strict=False)])
+
+    def _shared(self, index: LevelIndex) -> np.ndarray:
+        """Places of strings that stand earlier in another suffix with the same anchor."""
+        rows, key, place = index.all()
+        order = np.lexsort((place, key))
         k = key[order]
         same = np.zeros(len(k), bool)
         same[1:] = k[1:] == k[:-1]
         same[:-1] |= same[1:]
-        chosen = order[same]
-        by_owner = chosen[np.argsort(owner[chosen], kind="stable")]
-        owners, cuts = np.unique(owner[by_owner], return_index=True)
-        for block, rows in zip(owners.tolist(), np.split(by_owner, cuts[1:]), strict=True):
-            bits = np.zeros(sizes[block], bool)
-            bits[place[rows]] = True
-            out.append((block, shard, 2, bits))
-    return B.marks_table(out)
-
-
-def _scan_strings(table: pa.Table) -> pa.Table:
-    """Round 2: strings that an earlier block lists too (3)."""
-    shard, index, out = table.column("shard")[0].as_py(), LevelIndex(), []
-    for block, n, packed in B.packed_rows(table):
-        out.append((block, shard, 3, index.add(B.unplanes(packed, n))))
-    return B.marks_table(out)
-
-
-def _marked(text: pa.Array, marks: pa.Table, width: int, gram: int, shards: int) -> tuple[Runs, np.ndarray]:
-    """The block's runs with their strings to look at, and which runs are repeats."""
-    runs = Runs(text, width, gram)
-    first = _first_of_each(runs.key, runs.content)
-    keys = runs.key[first]
-    again, shared = (B.read_marks(marks, r, keys, shards) for r in (1, 2))
-    repeats = np.ones(len(runs.key), bool)
-    repeats[first] = again
-    want = np.zeros(len(runs.key), bool)
-    want[first] = shared
-    runs.look_at(want)
-    return runs, repeats
-
-
-def _list_strings(width: int, gram: int, shards: int, shards_2: int):
-    def listed(left: pa.Table, marks: pa.Table) -> pa.Table:
-        if not left.num_rows or not marks.num_rows:
-            return B.shard_rows(0, np.zeros(0, np.uint64), 1)
-        block, _, text = B.block_rows(left)
-        runs, _ = _marked(text, marks, width, gram, shards)
-        return B.shard_rows(block, np.unique(runs.string), shards_2)
-
-    return listed
-
-
-def _cut(width: int, gram: int, shards: int, shards_2: int, digest: bool):
+        order, k, out = order[same], k[same], []
+        count = index.bytes_of(rows)[order, -1].astype(np.int64)
+        ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))  # a key's suffixes stay together
+        total, i = np.concatenate([[0], np.cumsum(count)]), 0
+        while i < len(k):
+            j = int(ends[max(np.searchsorted(total[ends], total[i] + SCAN_STRINGS, side="right") - 1, np.searchsorted(ends, i, side="right"))])
+            flat = index.bytes_of(rows[order[i:j]]).reshape(-1)
+            at = _starts(np.arange(j - i) * (self.wide + 1), count[i:j])
+            strings = sliding_window_view(flat, self.width)[at].reshape(-1).view(f"S{self.width}")
+            by = np.argsort(strings, kind="stable")
+            again = strings[by][1:] == strings[by][:-1]
+            out.append(_starts(place[order[i:j]], count[i:j])[by[1:][again]])
+            i = j
+        return _join(out, np.int64)
+
+    def gone(self, text: pa.Array, marks: pa.Table) -> tuple[Runs, np.ndarray]:
+        """The block's runs, and which of its bytes go."""
+        runs, cold, hot = self.told(text, marks)
+        size = len(runs.raw)
+        bits, count = np.zeros(int(runs.count[cold].sum()), bool), runs.count[cold]
+        place = np.concatenate([[0], np.cumsum(count)])
+        cuts = place[np.searchsorted(B.shard_of(runs.key[cold], self.shards_2), np.arange(self.shards_2 + 1))]
+        for shard, r, packed in zip(*(marks.column(c).to_pylist() for c in ("shard", "round", "marks")), strict=True):
+            if r == 3:
+                a, b = cuts[shard], cuts[shard + 1]
+                bits[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(b - a)).astype(bool)
+        starts = [_starts(runs.start[cold], count)[bits]]
+        if len(hot):
+            at, hi, lo = runs.strings(hot)
+            one, rank = _distinct(hi, lo)
+            again = np.ones(len(at), bool)
+            again[one] = B.read_marks(marks, 4, hi[one], self.shards_2)
+            starts.append(at[again | B.read_marks(marks, 4, hi[one], self.shards_2)[rank]])
+        later = np.ones(len(runs.start), bool)
+        later[runs.first] = False
+        starts, whole = np.concatenate(starts), np.flatnonzero(later)
+        steps = np.bincount(starts, minlength=size + 1).astype(np.int32)
+        steps -= np.bincount(starts + self.width, minlength=size + 1).astype(np.int32)
+        steps += np.bincount(runs.start[whole], minlength=size + 1).astype(np.int32)
+        steps -= np.bincount(runs.start[whole] + runs.count[whole] + self.width - 1, minlength=size + 1).astype(np.int32)
+        return runs, np.cumsum(steps[:-1]) > 0
+
+
+def _cut(plan: Plan, digest: bool):
     def cut(left: pa.Table, marks: pa.Table) -> pa.Table:
         ids = np.zeros(0, np.int64)
         n, removed, spans, kept = ids, ids, ids, []
         if left.num_rows:
             _, ids, text = B.block_rows(left)
-            runs, repeats = _marked(text, marks, width, gram, shards)
-            size, offs = len(runs.raw), runs.offs
-            steps = np.zeros(size + 1, np.int32)
-            steps += np.bincount(runs.start[repeats], minlength=size + 1).astype(np.int32)
-            steps -= np.bincount(np.minimum(runs.end[repeats] + width, size), minlength=size + 1).astype(np.int32)
-            if len(runs.string):
-                distinct, first, back = np.unique(runs.string, return_index=True, return_inverse=True)
-                gone = np.ones(len(runs.string), bool)
-                gone[first] = False
-                gone |= B.read_marks(marks, 3, distinct, shards_2)[back]
-                steps += np.bincount(runs.at[gone], minlength=size + 1).astype(np.int32)
-                steps -= np.bincount(np.minimum(runs.at[gone] + width, size), minlength=size + 1).astype(np.int32)
-            mask = np.cumsum(steps[:-1]) > 0
+            runs, mask = plan.gone(text, marks)
+            offs = runs.offs
             sums = np.concatenate([[0], np.cumsum(mask)])
             n, removed = np.diff(offs), sums[offs[1:]] - sums[offs[:-1]]
             rises = mask.copy()
@@ -267,7 +387,16 @@ def _cut(width: int, gram: int, shards: int, shards_2: int, digest: bool):
     return cut
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 50, digest: bool = False) -> DataFrame:
+def _removed(frame: DataFrame, keys: DataFrame, new: DataFrame, plan: Plan, digest: bool) -> DataFrame:
+    """Spark counts the arguments of a method with self, hence the lambdas. frame: all blocks; keys: what list_keys gives for them; new: the blocks to cut."""
+    marks_1 = keys.groupBy("shard").applyInArrow(lambda t: plan.scan_keys(t), B.MARKS)
+    suffixes = frame.groupBy("block").cogroup(marks_1.groupBy("block")).applyInArrow(lambda t, m: plan.list_suffixes(t, m), B.PACKED)
+    marks = marks_1.unionByName(suffixes.groupBy("shard").applyInArrow(lambda t: plan.scan(t), B.MARKS))
+    out = new.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut(plan, digest), OUT)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != B.NO_ID, F.col("doc_id")))
+
+
+def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 50, digest: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary).
 
     With `digest`, kept holds the hexadecimal SHA-256 of the kept bytes.
@@ -275,11 +404,6 @@ def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 50, digest: bool
     (width - gram) / 2 bytes.
     """
     blocks = B.blocked(docs)
-    shards, shards_2 = blocks.shards((width - gram) / 2, SHARD_KEYS), blocks.shards(8, SHARD_KEYS)
-    by_block = blocks.frame.groupBy("block")
-    marks_1 = by_block.applyInArrow(_list_runs(width, gram, shards), B.PACKED).groupBy("shard").applyInArrow(_scan_runs, B.MARKS)
-    strings = blocks.frame.groupBy("block").cogroup(marks_1.groupBy("block")).applyInArrow(_list_strings(width, gram, shards, shards_2), B.PACKED)
-    marks_2 = strings.groupBy("shard").applyInArrow(_scan_strings, B.MARKS)
-    marks = marks_1.unionByName(marks_2)
-    out = blocks.frame.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut(width, gram, shards, shards_2, digest), OUT)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != B.NO_ID, F.col("doc_id")))
+    plan = Plan(width, gram, blocks.total_bytes, hot)
+    keys = blocks.frame.groupBy("block").applyInArrow(lambda t: plan.list_keys(t), B.PACKED)
+    return _removed(blocks.frame, keys, blocks.frame, plan, digest)
