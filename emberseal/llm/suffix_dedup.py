@@ -41,12 +41,14 @@ empty table gives no rows, and one without repeats comes back whole.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -227,13 +229,17 @@ def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Plan:
-    """What the steps share: widths and numbers of shards. `hot` is the number of suffixes from which a key is hot."""
+    """What the steps share: widths and numbers of shards.
 
-    def __init__(self, width: int, gram: int, total_bytes: int, hot: int = HOT, shards: tuple[int, int] | None = None) -> None:
+    `hot` is the number of suffixes from which a key is hot. Blocks from `new`
+    on are judged, against each other and against those before.
+    """
+
+    def __init__(self, width: int, gram: int, total_bytes: int, hot: int = HOT, shards: tuple[int, int] | None = None, new: int = 0) -> None:
         if not 0 < gram <= width or width - gram >= 255:
             raise ValueError("gram must be from width - 254 to width")
         runs = total_bytes / max(1.0, (width - gram) / 2)
-        self.width, self.gram, self.wide, self.hot = width, gram, 2 * width - gram, hot
+        self.width, self.gram, self.wide, self.hot, self.new = width, gram, 2 * width - gram, hot, new
         self.shards, self.shards_2 = shards or (int(runs // SHARD_KEYS) + 1, int(runs // SHARD_RUNS) + 1)
 
     def list_keys(self, table: pa.Table) -> pa.Table:
@@ -243,12 +249,13 @@ class Plan:
         return B.shard_rows(block, keys, self.shards, np.minimum(counts, 65535).astype(np.uint16))
 
     def scan_keys(self, table: pa.Table) -> pa.Table:
-        """Step 1, shard: keys of two or more contents (1), and of `hot` or more (2)."""
+        """Step 1, shard: keys of two or more contents (1), and of `hot` or more (2), if a new block has them."""
         shard, got = table.column("shard")[0].as_py(), list(B.packed_rows(table))
         keys = np.concatenate([B.unplanes(p, n) for _, n, p in got])
         counts = np.concatenate([B.unplanes(p[8 * n :], n, np.uint16) for _, n, p in got]).astype(np.int64)
         _, back = np.unique(keys, return_inverse=True)
-        total = np.bincount(back, weights=counts)[back]
+        fresh = np.repeat([b >= self.new for b, _, _ in got], [n for _, n, _ in got])
+        total = (np.bincount(back, weights=counts) * (np.bincount(back, weights=fresh) > 0))[back]
         cuts = np.cumsum([0, *(n for _, n, _ in got)])
         return B.marks_table([(b, shard, r, (total >= least)[i:j]) for r, least in ((1, 2), (2, self.hot)) for (b, _, _), i, j in zip(got, cuts, cuts[1:], strict=False)])
 
@@ -387,10 +394,12 @@ def _cut(plan: Plan, digest: bool):
     return cut
 
 
-def _removed(frame: DataFrame, keys: DataFrame, new: DataFrame, plan: Plan, digest: bool) -> DataFrame:
+def _removed(frame: DataFrame, keys: DataFrame, new: DataFrame, plan: Plan, digest: bool, only_marked: bool = False) -> DataFrame:
     """Spark counts the arguments of a method with self, hence the lambdas. frame: all blocks; keys: what list_keys gives for them; new: the blocks to cut."""
     marks_1 = keys.groupBy("shard").applyInArrow(lambda t: plan.scan_keys(t), B.MARKS)
-    suffixes = frame.groupBy("block").cogroup(marks_1.groupBy("block")).applyInArrow(lambda t, m: plan.list_suffixes(t, m), B.PACKED)
+    if only_marked:
+        frame = frame.join(marks_1.select("block").distinct(), "block", "left_semi")
+    suffixes = frame.select("doc_id", "text", "block").groupBy("block").cogroup(marks_1.groupBy("block")).applyInArrow(lambda t, m: plan.list_suffixes(t, m), B.PACKED)
     marks = marks_1.unionByName(suffixes.groupBy("shard").applyInArrow(lambda t: plan.scan(t), B.MARKS))
     out = new.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut(plan, digest), OUT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != B.NO_ID, F.col("doc_id")))
@@ -407,3 +416,61 @@ def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 50, digest: bool
     plan = Plan(width, gram, blocks.total_bytes, hot)
     keys = blocks.frame.groupBy("block").applyInArrow(lambda t: plan.list_keys(t), B.PACKED)
     return _removed(blocks.frame, keys, blocks.frame, plan, digest)
+
+
+class SuffixStore:
+    """The family on disk: each batch of documents is deduplicated against those before it.
+
+    A level is a folder of texts by block and of their packed keys by shard.
+    A batch becomes a level; levels merge as long as the last is less than
+    twice as large as the one after it, so n batches keep at most log2(n) of
+    them. Only blocks that share an anchor with the batch are read again. A
+    manifest names the levels that count; one writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, width: int = 100, gram: int = 50, shards: int = 64, hot: int = HOT) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        self.version = max((int(x.removeprefix("manifest-")) for x in names if x.startswith("manifest-")), default=0)
+        rules = {"width": width, "gram": gram, "shards": shards}
+        self.state = json.loads(spark.read.text(f"{self.folder}/manifest-{self.version:06d}").first()[0]) if self.version else rules | {"next": 0, "levels": []}
+        if {k: self.state[k] for k in rules} != rules:
+            raise ValueError("the store was made with other widths or shards")
+        self.hot = hot
+
+    def _read(self, level: dict, what: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{level['name']}/{what}")
+
+    def _write(self, name: str, texts: DataFrame, keys: DataFrame, size: int) -> dict:
+        texts.write.parquet(f"{self.folder}/{name}/texts")
+        level = {"name": name, "bytes": size}
+        (keys or self._listed(self._read(level, "texts"))).repartitionByRange("shard", "block").sortWithinPartitions("shard", "block").write.parquet(f"{self.folder}/{name}/keys")
+        return level
+
+    def _listed(self, texts: DataFrame) -> DataFrame:
+        plan = self._plan(0)
+        return texts.groupBy("block").applyInArrow(lambda t: plan.list_keys(t), B.PACKED)
+
+    def _plan(self, new: int) -> Plan:
+        x = self.state
+        return Plan(x["width"], x["gram"], 0, self.hot, (x["shards"], x["shards"]), new)
+
+    def add(self, docs: DataFrame, digest: bool = False) -> DataFrame:
+        """suffix_dedup's rows for docs, all of whose documents come after those of earlier batches."""
+        first, levels, blocks = self.state["next"], list(self.state["levels"]), B.blocked(docs)
+        level = self._write(f"batch-{self.version + 1:06d}", blocks.frame.withColumn("block", (F.col("block") + first).cast("int")), None, blocks.total_bytes)
+        new, old = self._read(level, "texts"), [self._read(x, "texts") for x in levels]
+        keys = reduce(DataFrame.unionByName, [self._read(x, "keys") for x in [*levels, level]])
+        top = new.agg(F.max("block")).first()[0]
+        levels.append(level)
+        while len(levels) > 1 and levels[-2]["bytes"] < 2 * levels[-1]["bytes"]:
+            b, a = levels.pop(), levels.pop()
+            both = [self._read(a, k).unionByName(self._read(b, k)) for k in ("texts", "keys")]
+            levels.append(self._write(f"merged-{self.version + 1:06d}-{len(levels)}", *both, a["bytes"] + b["bytes"]))
+        plan = self._plan(first)
+        self.version += 1
+        self.state = self.state | {"next": first if top is None else top + 1, "levels": levels}
+        self.spark.createDataFrame([(json.dumps(self.state),)], "m string").coalesce(1).write.text(f"{self.folder}/manifest-{self.version:06d}")
+        return _removed(reduce(DataFrame.unionByName, [*old, new]), keys, new, plan, digest, only_marked=bool(old))

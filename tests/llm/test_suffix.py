@@ -127,3 +127,20 @@ def test_long_text_and_many_blocks(spark, monkeypatch):
     without = long[:1_048_000] + long[1_049_200:]
     assert got[1] == (3_000_000, 1200, 1, hashlib.sha256(without.encode()).hexdigest().encode())
     assert got[2][:3] == (5_003, 5_000, 1)
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_batches_against_a_stored_index(spark, tmp_path, seed):
+    every, folder = texts(seed, 35), str(tmp_path / "store")
+    want = [bytes(np.frombuffer(t.encode(), np.uint8)[~cut]) for t, cut in zip(every, brute(every), strict=True)]
+    got, sizes = {}, []
+    for i in range(0, 35, 7):
+        store = S.SuffixStore(spark, folder, shards=5)  # read anew each time
+        batch = spark.createDataFrame([(100 - i + k, t) for k, t in enumerate(every[i : i + 7])], "doc_id long, text string")
+        got |= {i + r.doc_id - 100 + i: bytes(r.kept) for r in store.add(batch).collect()}
+        sizes.append([x["bytes"] for x in store.state["levels"]])
+    assert [got[i] for i in range(35)] == want
+    assert all(a >= 2 * b for x in sizes for a, b in zip(x, x[1:], strict=False)) and max(map(len, sizes)) > 1
+    assert S.SuffixStore(spark, folder, shards=5).add(batch.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        S.SuffixStore(spark, folder, shards=6)
