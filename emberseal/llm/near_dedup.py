@@ -13,14 +13,22 @@
    as whole sets.
 4. Components are built. A link that was missed joins a member that is not
    linked with its centre to another member of the centre. Such members and
-   all members are dealt out in blocks of BLOCK rows, and each pair of blocks
-   is looked at in one task, which holds the two blocks and returns links
-   only. Sizes, distances to the centre (Jaccard distance is a metric),
-   estimates and links already found to the same component spare most
-   comparisons. Components are built again.
-
-Sizes bound similarity, so pairs of unlike sizes are dropped early. A pair at
-85 % shares no band with probability 4e-7.
+   all members are dealt out in blocks of BLOCK rows of short sketches (one
+   byte a register), and each pair of blocks is looked at in one task. Sizes,
+   distances to the centre (Jaccard distance is a metric) and estimates rule
+   out most; of what is left between different components, each member names
+   its FIRST best partners, whose sets are compared, and components are built
+   again. For members with more possible partners, the texts of these meet in
+   one task for each pair of blocks, where an inverted index counts all common
+   shingles; it returns links only. So neither round emits more than a few
+   pairs a member, and none that may link is left out. In a group whose members
+   are much alike but not linked, work grows with (members not linked to the
+   centre) x (members) / BLOCK texts.
+
+Sizes bound similarity, so pairs of unlike sizes are dropped early. Bands have
+as many rows as they can so that a pair at the threshold shares none with a
+probability of MISS at most: 5 rows at 85 % (4e-7), 4 at 80 %, 2 at 50 %.
+Shingles are compared by 64-bit fingerprints, equal sets by 128 bits.
 
 Edge cases: null, empty and blank texts have no shingles and link with none; a
 text of fewer words than a shingle is one shingle; rows that share a doc_id
@@ -45,8 +53,8 @@ from .components import components
 from .durable import durable
 from .rowkeys import id_or_null, with_own_ids
 
-REGISTERS, BAND_ROWS, BANDS = 128, 5, 25
-BLOCK = 256
+REGISTERS, MISS = 128, 1e-5
+BLOCK, FIRST, SALTS = 512, 4, 16
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
 
@@ -78,26 +86,47 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    """documents x BANDS hashes; 0 for bands without a filled register."""
-    r = regs[:, : BANDS * BAND_ROWS].reshape(len(regs), BANDS, BAND_ROWS).astype(np.uint64)
-    h = np.broadcast_to(T.mix(np.arange(1, BANDS + 1).astype(np.uint64)), r.shape[:2]).copy()
-    for i in range(BAND_ROWS):
+def band_rows(percent: int) -> int:
+    """Registers in a band: the most with which a pair at the threshold is missed with probability MISS at most."""
+    t = percent / 100
+    fits = [r for r in range(1, 33) if (1 - t**r) ** (REGISTERS // r) <= MISS]
+    if not fits:
+        raise ValueError(f"{percent} % is too low for {REGISTERS} registers")
+    return max(fits)
+
+
+def bands(regs: np.ndarray, rows: int) -> np.ndarray:
+    """documents x bands hashes; 0 for bands without a filled register."""
+    n = REGISTERS // rows
+    r = regs[:, : n * rows].reshape(len(regs), n, rows).astype(np.uint64)
+    h = np.broadcast_to(T.mix(np.arange(1, n + 1).astype(np.uint64)), r.shape[:2]).copy()
+    for i in range(rows):
         h = T.mix(h * np.uint64(T.BASE) + r[:, :, i])
     return np.where(r.any(2), h, 0).view(np.int64)
 
 
+def short(regs: np.ndarray) -> np.ndarray:
+    """A byte for each register: 0 if empty, else a hash of it from 1 to 255."""
+    return np.where(regs > 0, 1 + T.mix(regs.astype(np.uint64)) % np.uint64(255), 0).astype(np.uint8)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of register rows, less chance collisions, and how many registers they rest on."""
+    """Jaccard estimates of register rows (or of short ones), less chance collisions, and how many registers they rest on."""
     used = (a > 0) | (b > 0)
     n = np.maximum(used.sum(1), 1)
     same = ((a == b) & used).sum(1) / n
     # Two unrelated buckets agree if both zeros and mantissa do: near 2**-11, a little more when they hold few hashes.
-    chance = 2.0**-11 * (1 + REGISTERS / np.maximum(np.minimum(*sizes), 1))
+    chance = 2.0**-11 * (1 + REGISTERS / np.maximum(np.minimum(*sizes), 1)) + (a.dtype == np.uint8) / 255
     return (same - chance) / (1 - chance), n
 
 
-def _sketch(n: int):
+def may_link(got: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether an estimate lies at most SLACK standard errors under the threshold."""
+    t = percent / 100
+    return got >= t - SLACK * np.sqrt(t * (1 - t) / n) - 1 / n
+
+
+def _sketch(n: int, rows: int):
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = T.as_bytes(batch.column(1))
@@ -109,8 +138,8 @@ def _sketch(n: int):
                     k2.append(int(T.mix(s ^ np.uint64(T.BASE)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     regs[i] = registers(s)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(list(bands(regs)), pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "k1", "k2", "regs", "bands"],
+                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(list(bands(regs, rows)), pa.list_(pa.int64())), pa.array([r.tobytes() for r in short(regs)], pa.binary())],
+                    names=["doc_id", "n", "k1", "k2", "regs", "bands", "short"],
                 )
 
     return sketched
@@ -120,14 +149,12 @@ def _likely(percent: int):
     """Keeps pairs whose estimate may reach the threshold."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = percent / 100
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             got, n = estimate(a, b, (batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
-            keep = got >= t - SLACK * np.sqrt(t * (1 - t) / n) - 1 / n
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(may_link(got, n, percent)))
 
     return likely
 
@@ -152,60 +179,145 @@ def _compare(n: int):
     return compared
 
 
-def _across(n: int, percent: int):
-    """Links between one block of a centre's unlinked members and one of all its members."""
+PARTNERS = "centre long, i int, j int, a long, b long, more boolean"
 
-    def across(table: pa.Table) -> pa.Table:
-        a, b = [], []
-        rest, others = table.filter(table.column("rest")), table.filter(pc.invert(table.column("rest")))
+
+def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    return table.filter(table.column("rest")), table.filter(pc.invert(table.column("rest")))
+
+
+def _partners(percent: int, first: int):
+    """Of each unlinked member of one block, its `first` best partners among the members of another, and whether it has more.
+
+    Members that such a one with more might link with follow as rows without a.
+    """
+
+    def partners(table: pa.Table) -> pa.Table:
+        a, b, more, possible = [], [], [], np.zeros(0, np.int64)
+        rest, others = _split(table)
         if rest.num_rows and others.num_rows:
             t = percent / 100
 
             def read(table: pa.Table):
-                sets = list(shingle_sets(*T.as_bytes(table.column("text")), n))
                 far = table.column("far").to_numpy().astype(float)  # NaN: not known
-                return table.column("doc_id").to_numpy(), table.column("c").to_numpy(), far, sets, np.array([len(x) for x in sets]), np.array([registers(x) for x in sets])
+                regs = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+                return table.column("doc_id").to_numpy(), table.column("c").to_numpy(), far, table.column("n").to_numpy(), regs
 
-            ida, ca, fa, sa, na, ra = read(rest)
-            idb, cb, fb, sb, nb, rb = read(others)
+            (ida, ca, fa, na, ra), (idb, cb, fb, nb, rb) = read(rest), read(others)
+            open_ = np.zeros(len(idb), bool)
             for i in range(len(ida)):
                 fits = (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])) & ~(np.abs(fb - fa[i]) > 1 - t + 1e-9)
                 at = np.flatnonzero(fits)
                 if len(at):
                     got, used = estimate(ra[i : i + 1], rb[at], (na[i : i + 1], nb[at]))
-                    near = got >= t - SLACK * np.sqrt(t * (1 - t) / used) - 1 / used
-                    at = at[near][np.argsort(-got[near], kind="stable")]
-                done: set[int] = set()  # one link to a component is enough
-                for j in at.tolist():
-                    if int(cb[j]) not in done:
-                        k = int(np.isin(sa[i], sb[j], assume_unique=True).sum())
-                        if 100 * k >= percent * (na[i] + nb[j] - k):
-                            done.add(int(cb[j]))
-                            a.append(int(ida[i]))
-                            b.append(int(idb[j]))
+                    near = may_link(got, used, percent)
+                    at, got = at[near], got[near]
+                    best = at[np.lexsort((idb[at], -got))][:first]
+                    a += [int(ida[i])] * len(best)
+                    b += idb[best].tolist()
+                    more += [len(at) > first] * len(best)
+                    open_[at] |= len(at) > first
+            possible = idb[open_]
+        one = lambda c: pa.array([table.column(c)[0].as_py()] * (len(a) + len(possible)), pa.int64() if c == "centre" else pa.int32())
+        return pa.table({"centre": one("centre"), "i": one("i"), "j": one("j"), "a": pa.array(a + [None] * len(possible), pa.int64()), "b": pa.array(b + possible.tolist(), pa.int64()), "more": pa.array(more + [True] * len(possible), pa.bool_())})
+
+    return partners
+
+
+def _across(n: int, percent: int):
+    """Links between unlinked members of one block and members of another: one to each component is enough."""
+
+    def across(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        rest, others = _split(table)
+        if rest.num_rows and others.num_rows:
+            read = lambda x: (x.column("doc_id").to_numpy(), x.column("c").to_numpy(), list(shingle_sets(*T.as_bytes(x.column("text")), n)))
+            (ida, ca, sa), (idb, cb, sb) = read(rest), read(others)
+            size = np.array([len(x) for x in sb])
+            every = np.concatenate(sb)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], np.repeat(np.arange(len(sb)), size)[order]
+            for i in range(len(ida)):
+                lo, hi = np.searchsorted(every, sa[i], "left"), np.searchsorted(every, sa[i], "right")
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+                both = np.bincount(owner[at], minlength=len(sb))
+                fits = np.flatnonzero((100 * both >= percent * (len(sa[i]) + size - both)) & (cb != ca[i]))
+                fits = fits[np.unique(cb[fits], return_index=True)[1]]
+                a += [int(ida[i])] * len(fits)
+                b += idb[fits].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return across
 
 
+def _exact(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """a, b, both, either of the pairs (a, b)."""
+    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    rows = pairs.join(text("a"), "a").join(text("b"), "b").sortWithinPartitions("b")
+    return durable(rows.select("a", "b", "ta", "tb").mapInArrow(_compare(n), "a long, b long, both long, either long"))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Each row once for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _missed(starred: DataFrame, stars: DataFrame, reps: DataFrame, texts: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that the stars missed; links: those found so far."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    far = stars.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), (1 - F.col("both") / F.col("either")).alias("far"))
+    members = starred.filter("doc_id <> centre").select("doc_id", "centre").distinct().join(far, ["doc_id", "centre"], "left")
+    members = members.join(reps.select("doc_id", "n", "short"), "doc_id").withColumn("salt", salt)
+    part = components(links)
+    own = _labelled(members, part)
+    main = _spread(members.select("centre").distinct().join(part.select(F.col("v").alias("centre"), F.col("c").alias("main")), "centre", "left").withColumn("main", F.coalesce("main", "centre")))
+    own = durable(own.join(main, ["centre", "salt"]))
+    sizes = own.groupBy("centre", "salt").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("main")).alias("r")).groupBy("centre").agg(F.sum("m").alias("m"), F.sum("r").alias("r"))
+    counts = _spread(sizes.filter("r > 0 and m > 1").select("centre", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("r") / BLOCK).cast("int").alias("rb")))
+    held = own.join(counts, ["centre", "salt"])
+    block = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    kinds = lambda df, k, *more: df.select("centre", "i", "j", "doc_id", "c", *more, F.lit(k).alias("rest"))
+    rest = kinds(held.filter("c <> main").withColumn("j", block("rb")).withColumn("i", every("mb")), True, "far", "n", "short")
+    others = kinds(held.withColumn("i", block("mb")).withColumn("j", every("rb")), False, "far", "n", "short")
+    partners = durable(rest.unionByName(others).groupBy("centre", "i", "j").applyInArrow(_partners(percent, FIRST), PARTNERS))
+    first = _linked(_exact(partners.filter("a is not null").select("a", "b").distinct(), texts, n), percent)
+    part = components(links.unionByName(first))
+    asked = kinds(_labelled(partners.filter("more and a is not null").select("centre", "i", "j", F.col("a").alias("doc_id")).distinct(), part), True)
+    there = kinds(_labelled(partners.filter("a is null").select("centre", "i", "j", F.col("b").alias("doc_id")), part), False)
+    # Nothing is left to ask where all partners have become one component with the asking.
+    ends = lambda df: df.groupBy("centre", "i", "j").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    live = lambda df, by: df.join(ends(by), ["centre", "i", "j"]).filter("lo <> c or hi <> c").drop("lo", "hi")
+    both = live(asked, there).unionByName(live(there, asked))
+    more = both.join(texts, "doc_id").groupBy("centre", "i", "j").applyInArrow(_across(n, percent), "a long, b long")
+    return first.unionByName(durable(more))
+
+
+def _labelled(df: DataFrame, part: DataFrame) -> DataFrame:
+    """df (doc_id) with its component c."""
+    return df.join(part.select(F.col("v").alias("doc_id"), "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+
+
+def _linked(checked: DataFrame, percent: int) -> DataFrame:
+    return checked.filter(f"100 * both >= {int(percent)} * either").select("a", "b")
+
+
 def _checked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b, both, either of the pairs (a, b) that pass the estimate."""
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    likely = sized.mapInArrow(_likely(percent), "a long, b long")
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    rows = likely.join(text("a"), "a").join(text("b"), "b").sortWithinPartitions("b")
-    return durable(rows.select("a", "b", "ta", "tb").mapInArrow(_compare(n), "a long, b long, both long, either long"))
+    return _exact(sized.mapInArrow(_likely(percent), "a long, b long"), texts, n)
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable), kept."""
     rows, last = with_own_ids(docs)
-    sketches = durable(rows.select("doc_id", "text").mapInArrow(_sketch(shingle), "doc_id long, n long, k1 long, k2 long, regs binary, bands array<long>"))
+    sketched = _sketch(shingle, band_rows(percent))
+    sketches = durable(rows.select("doc_id", "text").mapInArrow(sketched, "doc_id long, n long, k1 long, k2 long, regs binary, bands array<long>, short binary"))
     filled = sketches.filter("n > 0")
     sets = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     to_rep = filled.join(sets, ["k1", "k2", "n"]).select("doc_id", "rep")
-    reps = filled.join(sets.select("k1", "k2", "n", F.col("rep").alias("doc_id")), ["k1", "k2", "n", "doc_id"]).dropDuplicates(["k1", "k2", "n"]).select("doc_id", "n", "regs", "bands")
+    reps = filled.join(sets.select("k1", "k2", "n", F.col("rep").alias("doc_id")), ["k1", "k2", "n", "doc_id"]).dropDuplicates(["k1", "k2", "n"]).select("doc_id", "n", "regs", "bands", "short")
     members = reps.select("doc_id", F.explode("bands").alias("band")).filter("band <> 0")
     shared = members.groupBy("band").agg(F.count("*").alias("mates")).filter("mates > 1")
     held = durable(members.join(shared, "band"))
@@ -216,24 +328,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     starred = durable(held.select("band", "doc_id").join(centres, "band"))
     texts = durable(rows.join(degree.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
     stars = _checked(starred.filter("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), reps, texts, shingle, percent)
-    linked = lambda x: x.filter(f"100 * both >= {int(percent)} * either").select("a", "b")
+    links = _linked(stars, percent)
     same = to_rep.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    part = components(linked(stars))
-    # Links between the components that a centre's members still form.
-    far = stars.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), (1 - F.col("both") / F.col("either")).alias("far"))
-    group = starred.filter("doc_id <> centre").select("doc_id", "centre").distinct()
-    label = lambda df, x, c: df.join(part.select(F.col("v").alias(x), F.col("c").alias(c)), x, "left").withColumn(c, F.coalesce(c, x))
-    group = label(label(group, "doc_id", "c"), "centre", "main").join(far, ["doc_id", "centre"], "left")
-    sizes = group.groupBy("centre").agg(F.count("*").alias("m"), F.sum((F.col("c") != F.col("main")).cast("int")).alias("r")).filter("r > 0 and m > 1")
-    sizes = sizes.select("centre", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("r") / BLOCK).cast("int").alias("rb"))
-    held_by = durable(group.join(sizes, "centre"))
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    others = held_by.withColumn("i", block("mb")).withColumn("j", every("rb"))
-    rest = held_by.filter("c <> main").withColumn("j", block("rb")).withColumn("i", every("mb"))
-    kinds = lambda x, k: x.select("centre", "i", "j", "doc_id", "c", "far", F.lit(k).alias("rest"))
-    blocks = kinds(rest, True).unionByName(kinds(others, False)).join(texts.dropDuplicates(["doc_id"]), "doc_id")
-    more = durable(blocks.groupBy("centre", "i", "j").applyInArrow(_across(shingle, percent), "a long, b long"))
-    final = components(linked(stars).unionByName(more).unionByName(same))
+    missed = _missed(starred, stars, reps, texts.dropDuplicates(["doc_id"]), links, shingle, percent)
+    final = components(links.unionByName(missed).unionByName(same))
     joined = sketches.select("doc_id", "n").join(final.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     return joined.select(id_or_null(last=last), F.col("n").alias("n_shingles"), F.when(F.col("c") > last, F.col("c")).alias("component_id"), (F.col("doc_id") == F.col("c")).alias("kept"))

@@ -25,6 +25,9 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes hashed at a time, so that tables of powers don't grow with a text (but for a longer word or line).
+SPAN = 1 << 21
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -86,6 +89,17 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Unmixed hashes of data[start:end] of ordered ranges that don't overlap, some SPAN bytes at a time."""
+    out, i = np.empty(len(start), U64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SPAN, side="right")))
+        base = start[i]
+        out[i:j] = range_hash(prefix_hash(data[base : end[j - 1]]), start[i:j] - base, end[i:j] - base)
+        i = j
+    return out
+
+
 def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the number of the first word of each row."""
     inside = ~between[data]
@@ -102,7 +116,7 @@ def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE) ->
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """words() with the fingerprint of each word in front."""
     s, e, first = words(data, offs)
-    return mix(range_hash(prefix_hash(data), s, e)), s, e, first
+    return mix(hash_ranges(data, s, e)), s, e, first
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
