@@ -54,7 +54,7 @@ from .durable import durable
 from .rowkeys import id_or_null, with_own_ids
 
 REGISTERS, MISS = 128, 1e-5
-BLOCK, FIRST, SALTS = 512, 4, 16
+BLOCK, FIRST, SALTS = 512, 2, 16
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
 
