@@ -2,18 +2,21 @@
 
 Native: patterns run in Spark's own regular expressions. Positions come from
 the lengths of the pieces between matches (split) and of the matches
-(regexp_extract_all), summed in one fold per kind. For entropy, candidate
+(regexp_extract_all), summed in one fold per kind, which works through CHUNK
+matches at a time so that its lists stay short. For entropy, candidate
 strings are runs of 20 or more characters of [A-Za-z0-9+/_=-]. Each gets the
 narrowest character class that holds it; a fold moves a window over it,
 raising the count of the character that enters, lowering that of the one that
-leaves and adjusting the sum of c * log2(c) by these two terms. A candidate
+leaves and adjusting the sum of c * log2(c) by these two terms. Letters alone
+are no reason to pass a candidate over, only forms that words have are. A candidate
 whose highest window entropy reaches its class's threshold is reported, unless
 an allow-list pattern matches it or it overlaps a span already found.
 
 Nothing is shuffled: each row's result follows from its own text.
 
 Edge cases: a null text is empty and has no spans; positions count code
-points; every row comes back, equal ones too, with its doc_id as it is; other
+points; a long text is scanned whole, in time that grows with its length;
+every row comes back, equal ones too, with its doc_id as it is; other
 columns are not looked at; an empty table gives no rows.
 """
 
@@ -32,6 +35,8 @@ HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+_WORD = "[A-Z]?[a-z]++|[A-Z]++"
+CHUNK = 256
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 
 
@@ -41,36 +46,50 @@ class EntropyRules:
 
     window: int = 20
     classes: tuple[tuple[str, float], ...] = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9]+$", 3.7), ("", 3.9))
-    #: Plain words and rules, digits alone, UUIDs, paths and words joined by signs, documented example keys.
+    #: Words (of one case or capitalised) and short numbers joined by signs, which covers paths; words written together,
+    #: each with a capital; digits and signs alone; UUIDs; documented example keys. Loops are possessive, so none tries a start twice.
     allow: tuple[str, ...] = field(
         default=(
-            "^[^0-9]+$",
-            "^[0-9+/_=-]+$",
-            "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-            "^/?[A-Za-z]+([-_/][A-Za-z]+)*([-_/][0-9]{1,4})*$",
-            "(?i:example|sample|placeholder|changeme|xxxx)",
+            f"^[+/_=-]*+(?:{_WORD})?(?:[+/_=-]++(?:{_WORD}|[0-9]{{1,4}}+))*+[+/_=-]*+$",
+            "^[a-z]*+(?:[A-Z][a-z]{2,}+)++$",
+            "^[0-9+/_=-]++$",
+            "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+            "^(?=.{20,80}$).*(?i:example|sample|placeholder|changeme|xxxx)",
         )
     )
 
 
-def _spans(text: Column, pattern: str, least: int, group: int = 0) -> Column:
-    """array<struct<a, z>> of the matches whose `group` has `least` characters."""
-    lengths = lambda g: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), F.length)
+def _matches(text: Column, pattern: str, least: int, group: int = 0, good=None) -> Column:
+    """array<struct<gap, n, ok>>: text before each match, its length, and whether `group` has `least` characters and passes good(); the rest has no n."""
+    found = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    ok = lambda x: (F.length(x) >= least) & (F.lit(True) if good is None else good(x))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.zip_with(gaps, lengths(0), lambda gap, n: F.struct(gap.alias("gap"), n.alias("n")))
-    pairs = F.zip_with(pairs, lengths(group), lambda p, n: F.struct(p["gap"].alias("gap"), p["n"].alias("n"), (n >= least).alias("ok")))
+    pairs = F.zip_with(gaps, F.transform(found(0), F.length), lambda gap, n: F.struct(gap.alias("gap"), n.alias("n")))
+    return F.zip_with(pairs, F.transform(found(group), ok), lambda p, x: F.struct(p["gap"].alias("gap"), p["n"].alias("n"), x.alias("ok")))
+
+
+def _spans(matches: Column) -> Column:
+    """array<struct<a, z>> of the matches that are ok; `matches` is a plain column, since it is named for every chunk."""
     empty = F.array().cast("array<struct<a:int,z:int>>")
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        a = state["at"] + x["gap"]
+    def step(s: Column, x: Column) -> Column:
+        a = s["at"] + x["gap"]
         z = a + F.coalesce(x["n"], F.lit(0))
-        return F.struct(z.alias("at"), F.when(x["ok"], F.array_append(state["out"], F.struct(a.alias("a"), z.alias("z")))).otherwise(state["out"]).alias("out"))
+        return state(z, F.when(x["ok"], F.array_append(s["out"], F.struct(a.alias("a"), z.alias("z")))).otherwise(s["out"]))
+
+    def chunk(s: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(matches, i * CHUNK + 1, CHUNK), state(s["at"], empty), step, lambda own: state(own["at"], F.concat(s["out"], own["out"])))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    chunks = F.sequence(F.lit(0), F.floor(F.size(matches) / CHUNK).cast("int"))
+    return F.aggregate(chunks, state(F.lit(0), empty), chunk, lambda s: s["out"])
 
 
-def _gated(text: Column, hint: str, spans: Column) -> Column:
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast("array<struct<a:int,z:int>>"))
+def _with_spans(rows: DataFrame, name: str, hint: str, matches: Column) -> DataFrame:
+    """rows with the spans as column `name`; texts without the hint have none. The generator keeps the matches as a column."""
+    none = F.array().cast("array<struct<gap:int,n:int,ok:boolean>>")
+    held = rows.withColumn("_m", F.explode(F.array(F.when(F.col("text").rlike(hint), matches).otherwise(none))))
+    return held.withColumn(name, _spans(F.col("_m"))).drop("_m")
 
 
 def _clog(c: Column) -> Column:
@@ -97,23 +116,19 @@ def window_entropy(text: Column, window: int) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["best"])
 
 
-def _entropy_spans(text: Column, base: Column, rules: EntropyRules) -> Column:
-    """Candidates over their class's threshold, none allow-listed, none that overlaps a base span."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    both = F.zip_with(_spans(text, CANDIDATE, 0), found, lambda s, x: F.struct(s["a"].alias("a"), s["z"].alias("z"), x.alias("x")))
+def _surprising(rules: EntropyRules):
+    """Whether a candidate is over its class's threshold and not allow-listed."""
 
     def over(c: Column) -> Column:
         bits = F.lit(rules.classes[-1][1])
         for pattern, least in reversed(rules.classes[:-1]):
             bits = F.when(c.rlike(pattern), F.lit(least)).otherwise(bits)
-        allowed = F.lit(False)
+        allowed = c.rlike(f"^{HEX}+$")  # a base span already
         for pattern in rules.allow:
             allowed = allowed | c.rlike(pattern)
         return F.when(allowed, F.lit(False)).otherwise(window_entropy(c, rules.window) >= bits)
 
-    fresh = F.filter(both, lambda s: over(s["x"]))
-    fresh = F.filter(fresh, lambda s: ~F.exists(base, lambda b: (b["a"] < s["z"]) & (b["z"] > s["a"])))
-    return F.transform(fresh, lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z")))
+    return over
 
 
 def secret_scan(docs: DataFrame, rules: EntropyRules | None = None) -> DataFrame:
@@ -121,12 +136,14 @@ def secret_scan(docs: DataFrame, rules: EntropyRules | None = None) -> DataFrame
     rules = rules or EntropyRules()
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", _gated(text, ASSIGN_HINT, _spans(text, ASSIGN, 6, 2)).alias("assign"), _gated(text, ACCESS, _spans(text, ACCESS, 20)).alias("access"), _gated(text, HEX, _spans(text, HEX, 24)).alias("hex"))
-    # The generator keeps the spans as a column, where the lambdas would compute them anew for each candidate.
-    rows = rows.withColumn("base", F.explode(F.array(F.concat("assign", "access", "hex"))))
-    # A candidate that can pass the allow-list holds a digit beside a letter.
-    hint = r"(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*[0-9]"
-    return rows.withColumn("entropy", _gated(text, hint, _entropy_spans(text, F.col("base"), rules))).drop("base")
+    rows = _with_spans(rows, "assign", ASSIGN_HINT, _matches(text, ASSIGN, 6, 2))
+    rows = _with_spans(rows, "access", ACCESS, _matches(text, ACCESS, 20))
+    rows = _with_spans(rows, "hex", HEX, _matches(text, HEX, 24))
+    rows = _with_spans(rows, "entropy", CANDIDATE, _matches(text, CANDIDATE, 0, good=_surprising(rules)))
+    # Spans that overlap one already found are left out; most texts have none of either.
+    base = F.concat("assign", "access", "hex")
+    fresh = F.filter("entropy", lambda s: ~F.exists(base, lambda b: (b["a"] < s["z"]) & (b["z"] > s["a"])))
+    return rows.withColumn("entropy", F.when((F.size("entropy") > 0) & (F.size(base) > 0), fresh).otherwise(F.col("entropy")))
 
 
 def span_list(*kinds: str) -> Column:
