@@ -6,8 +6,10 @@ its thresholds; rows join their group's thresholds and are filtered.
 
 A measure's threshold is median + SPREADS * max(upper quartile - median,
 slack), so it moves with what is usual in its group, and the slack keeps a
-group of equal rows from rejecting its ordinary neighbours. Groups of fewer
-than MIN_GROUP rows take their language's thresholds, or those of all rows.
+group of equal rows from rejecting its ordinary neighbours. Groups of any size
+are treated alike: a group of n rows takes its own threshold with weight n and
+its language's with weight PRIOR_ROWS; a language leans on all rows in the
+same way, and these on PRIOR, the thresholds without any rows.
 Rows that fail the base rule are not sketched.
 
 Edge cases: a null or empty text has no words and fails the base rule; null
@@ -29,15 +31,15 @@ from . import textnum as T
 from .durable import durable
 
 SPREADS = 4.0
-MIN_GROUP = 100
+PRIOR_ROWS = 100
 KLL_K = 400
-#: Measures that may be too high: expression over the counts, and slack.
-MEASURES: dict[str, tuple[str, float]] = {
-    "symbols": ("n_symbols / n_words", 0.03),
-    "shouts": ("n_marks / n_words", 0.05),
-    "capitals": ("n_capitals / word_chars", 0.05),
-    "dup_lines": ("n_dup_lines / n_lines", 0.125),
-    "repeats": ("n_repeat_words / n_words", 0.125),
+#: Measures that may be too high: expression over the counts, slack, and the threshold where no rows are known.
+MEASURES: dict[str, tuple[str, float, float]] = {
+    "symbols": ("n_symbols / n_words", 0.03, 0.15),
+    "shouts": ("n_marks / n_words", 0.05, 0.3),
+    "capitals": ("n_capitals / word_chars", 0.05, 0.4),
+    "dup_lines": ("n_dup_lines / n_lines", 0.125, 0.5),
+    "repeats": ("n_repeat_words / n_words", 0.125, 0.5),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_capitals")
 STATS = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
@@ -121,24 +123,26 @@ def base_failed() -> Column:
 
 def thresholds(stats: DataFrame) -> DataFrame:
     """lang, source and a threshold for each of MEASURES, from merged sketches."""
-    usable = stats.filter(~base_failed()).select("lang", "source", *(F.expr(e).cast("double").alias(m) for m, (e, _) in MEASURES.items()))
+    usable = stats.filter(~base_failed()).select("lang", "source", *(F.expr(e).cast("double").alias(m) for m, (e, _, _) in MEASURES.items()))
     sketches = usable.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, F.lit(KLL_K)).alias(m) for m in MEASURES))
     merged = lambda *by: sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES))
     limit = lambda m, slack: F.kll_sketch_get_quantile_double(m, F.lit(0.5)) + SPREADS * F.greatest(F.kll_sketch_get_quantile_double(m, F.lit(0.75)) - F.kll_sketch_get_quantile_double(m, F.lit(0.5)), F.lit(slack))
-    limits = lambda df, name: df.select(*(c for c in df.columns if c in ("lang", "source")), F.when(F.col("n") >= MIN_GROUP, F.struct(*(limit(m, slack).alias(m) for m, (_, slack) in MEASURES.items()))).alias(name))
+    limits = lambda df, name: df.select(*(c for c in df.columns if c in ("lang", "source")), F.struct("n", *(limit(m, slack).alias(m) for m, (_, slack, _) in MEASURES.items())).alias(name))
+    lean = lambda own, on: F.struct(*(((own["n"] * own[m] + PRIOR_ROWS * on[m]) / (own["n"] + PRIOR_ROWS)).alias(m) for m in MEASURES))
     own, lang = limits(sketches, "own"), limits(merged("lang"), "by_lang").withColumnRenamed("lang", "lang_")
-    over_all = limits(merged(), "by_all").first()["by_all"]
-    by_all = F.struct(*(F.lit(over_all[m]).cast("double").alias(m) for m in MEASURES)) if over_all else F.lit(None)
+    found = limits(merged().filter("n > 0"), "by_all").first()
+    rows, over_all = (found.by_all["n"], found.by_all) if found else (0, None)
+    by_all = F.struct(*(F.lit((rows * (over_all[m] if over_all else 0.0) + PRIOR_ROWS * prior) / (rows + PRIOR_ROWS)).alias(m) for m, (_, _, prior) in MEASURES.items()))
     joined = own.join(lang, own["lang"].eqNullSafe(lang["lang_"]), "left")
-    return joined.select("lang", "source", F.coalesce("own", "by_lang", by_all).alias("limits"))
+    return joined.select("lang", "source", lean(F.col("own"), lean(F.col("by_lang"), by_all)).alias("limits"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, COUNTS, base_failed, limits (null: too few rows to tell), kept."""
+    """doc_id, lang, source, COUNTS, base_failed, limits (null where all rows of a group fail the base rule), kept."""
     stats = durable(quality_stats(docs))
     limits = thresholds(stats).withColumnsRenamed({"lang": "lang_", "source": "source_"})
     joined = stats.join(limits, stats["lang"].eqNullSafe(limits["lang_"]) & stats["source"].eqNullSafe(limits["source_"]), "left").drop("lang_", "source_")
     over = F.lit(False)
-    for m, (e, _) in MEASURES.items():
+    for m, (e, _, _) in MEASURES.items():
         over = over | F.coalesce(F.expr(f"try_divide({e.replace(' / ', ', ')})") > F.col("limits")[m], F.lit(False))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
