@@ -107,7 +107,7 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, rules: Packing) -> list[int]:
     size, each = rules.size, rules.sequence_cost
     p, c = at.tolist(), cost.tolist()
     where = {x: i for i, x in enumerate(p)}
-    short = [1 << k for k in range(6, size.bit_length()) if 1 << k < size]
+    short = [1 << k for k in range(size.bit_length()) if 1 << k < size]
     f, back = [0] * len(p), [0] * len(p)
     queue: deque[int] = deque([0])
     key = [p[0]] + [0] * (len(p) - 1)
