@@ -41,7 +41,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "held_out", "score", "predicted")
+    return out.select("doc_id", "held_out", "score", "predicted", "flagged")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
