@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.crypto import hkdf, hmac_hex, pads, part
@@ -57,17 +57,19 @@ def verify(trail: DataFrame, head: str | None, count: int, keyring: dict[str, by
     head and count are the anchor's; head None: there is none. With a keyring
     the trail must be keyed, each record under a key of the ring.
 
-    A row carries its predecessor's hash, so every hash is checked in parallel;
-    only (seq, hash, prev_hash) are ordered to compare neighbours.
+    A row carries its predecessor's hash, so every hash is checked in parallel,
+    and each row meets its predecessor by seq - 1; no task sees the whole trail.
+    A seq that is missing, null or there twice breaks the chain.
     """
     keyed = keyring is not None
     rows = _with_pads(trail, keyring)
     stranger = F.col("ipad").isNull() if keyed else ~F.col("key_id").eqNullSafe(F.lit(UNKEYED))
     right = linked(canonical(VERSIONS[keyed]), F.col("prev_hash"), *((F.col("ipad"), F.col("opad")) if keyed else ()))
     own = rows.select("seq", "hash", "prev_hash", (stranger | ~F.col("hash").eqNullSafe(right)).alias("bad"))
-    before = F.lag("hash", 1, GENESIS).over(Window.orderBy("seq"))
-    told = own.withColumn("bad", F.col("bad") | ~F.col("prev_hash").eqNullSafe(before))
-    sums = told.agg(F.count("*").alias("n"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("broken_at"), F.max_by("hash", "seq").alias("last"))
+    one = own.groupBy("seq").agg(F.max("hash").alias("hash"), F.max("prev_hash").alias("prev_hash"), (F.bool_or("bad") | (F.count("*") > 1) | F.col("seq").isNull()).alias("bad"), F.count("*").alias("rows"))
+    linked_to = one.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("before"))
+    told = one.join(linked_to, "seq", "left").withColumn("bad", F.col("bad") | ~F.col("prev_hash").eqNullSafe(F.coalesce("before", F.lit(GENESIS))))
+    sums = told.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.min(F.when(F.col("bad"), F.coalesce("seq", F.lit(0)))).alias("broken_at"), F.max_by("hash", "seq").alias("last"))
     if head is None:
         return sums.select(F.when(F.col("n") == 0, "EMPTY").otherwise("NO_ANCHOR").alias("status"), F.lit(None).cast("long").alias("broken_at"))
     other = (F.col("n") != count) | (F.coalesce("last", F.lit(GENESIS)) != head)

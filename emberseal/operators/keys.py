@@ -54,10 +54,19 @@ def mint(subjects: DataFrame, keys: DataFrame | None, erased: DataFrame | None,
     return made if keys is None else keys.unionByName(made)
 
 
-def unwrapped(keys: DataFrame, master: bytes) -> DataFrame:
-    """tenant, subject, version, data_key of active keys; never cache or write this."""
-    active = with_secret(keys.filter(F.col("state") == "ACTIVE"), "master", master)
-    return active.select("tenant", "subject", "version", open_bytes(F.col("wrapped_key"), F.col("master"), key_aad(F.col("tenant"), F.col("subject"), F.col("version"))).alias("data_key"))
+def active(keys: DataFrame) -> DataFrame:
+    return keys.filter(F.col("state") == "ACTIVE")
+
+
+def opened_key(wrapped: Column, master: Column, version: Column) -> Column:
+    """The plain data key of a row's tenant and subject; only for columns that no exchange, cache or file sees."""
+    return open_bytes(wrapped, master, key_aad(F.col("tenant"), F.col("subject"), version))
+
+
+def over_limit(used: DataFrame, adding: DataFrame, limit: int) -> DataFrame:
+    """Subjects (tenant, subject, n) whose current key would seal more than `limit` values with what adding (n) brings."""
+    both = used.select("tenant", "subject", "n").unionByName(adding.select("tenant", "subject", "n"))
+    return both.groupBy("tenant", "subject").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
 
 
 def current(keys: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..errors import SealError
 from ..functions.crypto import open_bytes, seal_bytes
 from ..functions.formats import IDENTIFIER, parsed, row_id, stored_value, value_aad
-from .keys import current, unwrapped
+from .keys import active, current, opened_key, with_secret
 
+OWNER = ["tenant", "subject"]
+# Fixed value of the stored form.
 ERASED = "[erased]"
 
 
@@ -50,41 +52,72 @@ def to_bytes(df: DataFrame, field: str) -> Column:
     return x if dict(df.dtypes)[field] == "binary" else F.encode(x.cast("string"), "UTF-8")
 
 
+def markers(df: DataFrame, spec: SealSpec) -> DataFrame:
+    """Rows that seal() refuses: a sealed text that is the marker of erased values itself."""
+    texts = [f for f in spec.fields if dict(df.dtypes)[f] == "string"]
+    said = F.lit(False)
+    for f in texts:
+        said = said | F.coalesce(F.col(f"`{f}`") == ERASED, F.lit(False))
+    return df.filter(said)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: the generator keeps the optimizer from copying its expression."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def seal(df: DataFrame, spec: SealSpec, keys: DataFrame, master: bytes) -> DataFrame:
-    """The table with its sealed columns in stored form; nulls stay null. Subjects need a key (mint)."""
+    """The table with its sealed columns in stored form; nulls stay null. Subjects need a key (mint).
+
+    Keys are wrapped while rows are dealt out, and unwrapped where they meet
+    their rows. Each value is encrypted once, so its nonce, text and tag belong
+    together. A value that reads like the marker of erased ones is refused.
+    """
     spec.check(df)
-    owned = spec.owned(df)
-    latest = keys.join(current(keys), ["tenant", "subject", "version"])
-    joined = owned.join(unwrapped(latest, master), ["tenant", "subject"], "left")
-    missing = F.when(F.col("data_key").isNull(), F.raise_error(F.lit("SHRED-ERASED-001: a subject has no key")).cast("binary"))
+    latest = active(keys).join(current(keys), OWNER + ["version"]).select(*OWNER, F.col("version").alias("_version"), F.col("wrapped_key").alias("_wrapped"))
+    joined = with_secret(spec.owned(df).join(latest, OWNER, "left"), "_master", master)
+    joined = _once(joined, "_key", opened_key(F.col("_wrapped"), F.col("_master"), F.col("_version"))).drop("_wrapped", "_master")
+    kinds = dict(df.dtypes)
     for f in spec.fields:
-        aad = value_aad(F.col("tenant"), F.col("subject"), F.col("row"), F.lit(spec.entity), F.lit(f), F.col("version"))
-        value = stored_value(F.col("version"), F.col("tenant"), F.col("subject"), F.col("row"), F.col("_sealed"))
+        aad = value_aad(F.col("tenant"), F.col("subject"), F.col("row"), F.lit(spec.entity), F.lit(f), F.col("_version"))
         plain = to_bytes(df, f)
-        joined = joined.withColumn("_sealed", F.coalesce(missing, seal_bytes(plain, F.col("data_key"), aad))).withColumn(f, F.when(plain.isNotNull(), value)).drop("_sealed")
+        refused = F.when(F.col("_key").isNull(), F.raise_error(F.lit("SHRED-ERASED-001: a subject has no key")).cast("binary"))
+        if kinds[f] == "string":
+            refused = refused.when(F.col(f"`{f}`") == ERASED, F.raise_error(F.lit("SHRED-ERASED-001: a value is the marker of erased ones")).cast("binary"))
+        joined = _once(joined, "_sealed", F.when(plain.isNotNull(), F.coalesce(refused, seal_bytes(plain, F.col("_key"), aad))))
+        value = stored_value(F.col("_version"), F.col("tenant"), F.col("subject"), F.col("row"), F.col("_sealed"))
+        joined = joined.withColumn(f, F.when(F.col("_sealed").isNotNull(), value)).drop("_sealed")
     return joined.select(*df.columns)
 
 
 def open_columns(df: DataFrame, spec: SealSpec, keys: DataFrame, master: bytes, types: dict[str, str], policy: str = "SENTINEL") -> DataFrame:
-    """Opened columns. A value whose header names another tenant, subject or row raises; destroyed keys follow the policy."""
+    """Opened columns. A value whose header names another tenant, subject or row raises; destroyed keys follow the policy.
+
+    One join brings a row the wrapped keys of all versions of its subject, for
+    all fields. All fields of a row are verified before any of them shows.
+    """
     spec.check(df)
     if policy not in ("SENTINEL", "NULL", "EXCEPTION"):
         raise SealError("SHRED-CONFIG-001", "unknown policy")
-    out = spec.owned(df)
-    opened = unwrapped(keys, master)
-    for f in spec.fields:
-        out = out.withColumn("_h", parsed(F.col(f"`{f}`"))).withColumn("_v", F.col("_h.version"))
-        k = opened.select(F.col("tenant").alias("_t"), F.col("subject").alias("_s"), F.col("version").alias("_k"), F.col("data_key").alias("_key"))
-        out = out.join(k, (F.col("tenant") == F.col("_t")) & (F.col("subject") == F.col("_s")) & (F.col("_v") == F.col("_k")), "left")
-        aad = value_aad(F.col("tenant"), F.col("subject"), F.col("row"), F.lit(spec.entity), F.lit(f), F.col("_v"))
-        plain = open_bytes(F.col("_h.sealed"), F.col("_key"), aad)
+    held = active(keys).groupBy(*OWNER).agg(F.map_from_entries(F.collect_list(F.struct("version", "wrapped_key"))).alias("_keys"))
+    out = with_secret(spec.owned(df).join(held, OWNER, "left"), "_master", master)
+    wrong = F.lit(None).cast("string")
+    for i, f in enumerate(spec.fields):
+        there = F.col(f"`{f}`").isNotNull()
+        out = _once(out, f"_h{i}", parsed(F.col(f"`{f}`")))
+        h = F.col(f"_h{i}")
+        out = _once(out, f"_k{i}", opened_key(F.try_element_at("_keys", h["version"]), F.col("_master"), h["version"]))
+        aad = value_aad(F.col("tenant"), F.col("subject"), F.col("row"), F.lit(spec.entity), F.lit(f), h["version"])
+        out = _once(out, f"_p{i}", open_bytes(h["sealed"], F.col(f"_k{i}"), aad))
+        state = mismatch(h, F.col("tenant"), F.col("subject"), F.col("row"))
+        wrong = F.coalesce(wrong, F.when(there & (state != "OK"), state), F.when(there & F.col(f"_k{i}").isNotNull() & F.col(f"_p{i}").isNull(), F.lit("SHRED-DECRYPT-001")))
+    out = _once(out, "_wrong", wrong)
+    for i, f in enumerate(spec.fields):
+        kind, plain = types.get(f, "string"), F.col(f"_p{i}")
         text = F.decode(plain, "UTF-8")
-        kind = types.get(f, "string")
         value = plain if kind == "binary" else text if kind == "string" else text.cast(kind)
         gone = {"SENTINEL": F.lit(ERASED).cast("string") if kind == "string" else F.lit(None), "NULL": F.lit(None), "EXCEPTION": F.raise_error(F.lit("SHRED-KEY-DESTROYED: the key is destroyed"))}[policy].cast(kind)
-        fail = lambda code: F.raise_error(F.lit(code)).cast(kind)
-        state = mismatch(F.col("_h"), F.col("tenant"), F.col("subject"), F.col("row"))
-        out = out.withColumn(f, F.when(F.col(f"`{f}`").isNull(), F.lit(None).cast(kind)).when(state == "SHRED-FORMAT-001", fail("SHRED-FORMAT-001")).when(state == "SHRED-SUBJECT-MISMATCH", fail("SHRED-SUBJECT-MISMATCH")).when(state == "SHRED-ROW-MISMATCH", fail("SHRED-ROW-MISMATCH")).when(F.col("_key").isNull(), gone).when(plain.isNull(), fail("SHRED-DECRYPT-001")).otherwise(value)).drop("_h", "_v", "_t", "_s", "_k", "_key")
+        out = out.withColumn(f, F.when(F.col("_wrong").isNotNull(), F.raise_error(F.col("_wrong")).cast(kind)).when(F.col(f"`{f}`").isNull(), F.lit(None).cast(kind)).when(F.col(f"_k{i}").isNull(), gone).otherwise(value))
     return out.select(*df.columns)
 
 
