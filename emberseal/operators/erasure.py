@@ -50,6 +50,16 @@ def unsettled(stored: DataFrame, spec: SealSpec) -> DataFrame:
     return told.filter(F.col("state") != "OK")
 
 
+def moved(stored: DataFrame, rows: DataFrame, spec: SealSpec) -> DataFrame:
+    """Ids of rows that an update must not touch: not there, or with a stored header of another tenant, subject or row."""
+    new = spec.owned(rows).select(spec.id_column, "tenant", "subject", "row")
+    named = F.array(*(F.col(f"`{f}`") for f in spec.fields))
+    old = stored.select(spec.id_column, F.filter(named, lambda v: v.isNotNull()).alias("_values"))
+    both = new.join(old, spec.id_column, "left")
+    state = lambda v: mismatch(parsed(v), F.col("tenant"), F.col("subject"), F.col("row"))
+    return both.filter(F.col("_values").isNull() | F.exists("_values", lambda v: state(v) != "OK")).select(spec.id_column)
+
+
 def clear_date(at: Column, days: int) -> Column:
     """When the last backup that holds the keys is gone."""
     if not 0 <= days <= MAX_RETENTION_DAYS:
