@@ -7,10 +7,10 @@ import pytest
 from emberseal.functions.crypto import hkdf, master_key
 from emberseal.errors import SealError
 from emberseal.operators.blind_index import normalised
-from emberseal.plans import erasure_queries, queries, vault_queries
+from emberseal.plans import erasure_queries, guard_queries, queries, relational_queries, vault_queries
 
-QUERIES = queries.queries() | erasure_queries.queries() | vault_queries.queries()
-SQL = queries.oracle_sql() | erasure_queries.oracle_sql() | vault_queries.oracle_sql()
+QUERIES = queries.queries() | erasure_queries.queries() | vault_queries.queries() | guard_queries.queries() | relational_queries.queries()
+SQL = queries.oracle_sql() | erasure_queries.oracle_sql() | vault_queries.oracle_sql() | guard_queries.oracle_sql() | relational_queries.oracle_sql()
 
 D = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def plain(x):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "orders", "nation", "events"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
         con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
     got = QUERIES[name](spark, D)
     want = con.sql(SQL[name])
@@ -49,3 +49,24 @@ def test_normalised_text(spark):
     said = ["  ABC\t", "\uff21\uff22\u00a0", "Stra\u00dfe", "\ufb01x", "", None]
     df = spark.createDataFrame([(x,) for x in said], "t string")
     assert [r[0] for r in df.select(normalised(df.t)).collect()] == ["abc", "ab", "stra\u00dfe", "fix", "", None]
+
+
+def test_keys_are_opened_above_all_exchanges(spark):
+    """No plan decrypts a wrapped key below an exchange, so none lies in a shuffle file."""
+    from emberseal.operators import keys
+    from emberseal.operators.seal import open_columns, seal
+
+    spec, c = queries.SPEC, queries._customers(spark, D)
+    held = keys.mint(spec.owned(c), None, None, queries.MASTER)
+    sealed = seal(c, spec, held, queries.MASTER)
+    for df in (sealed, open_columns(queries.stored(sealed), spec, held, queries.MASTER, {})):
+        above, seen = [], 0
+        for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [a for a in above if a < depth]
+            if "decrypt" in line.lower():
+                seen += 1
+                assert not above, line
+            if "Exchange" in line and "Broadcast" not in line:
+                above.append(depth)
+        assert seen
