@@ -315,8 +315,10 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     sketched = _sketch(shingle, band_rows(percent))
     sketches = durable(rows.select("doc_id", "text").mapInArrow(sketched, "doc_id long, n long, k1 long, k2 long, regs binary, bands array<long>, short binary"))
     filled = sketches.filter("n > 0")
-    sets = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    to_rep = filled.join(sets, ["k1", "k2", "n"]).select("doc_id", "rep")
+    sets = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # Rows of copies meet their set under a salt, so that a large group is not one task's.
+    salted = filled.select("doc_id", "k1", "k2", "n", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    to_rep = salted.join(_spread(sets.filter("copies > 1")), ["k1", "k2", "n", "salt"]).select("doc_id", "rep")
     reps = filled.join(sets.select("k1", "k2", "n", F.col("rep").alias("doc_id")), ["k1", "k2", "n", "doc_id"]).dropDuplicates(["k1", "k2", "n"]).select("doc_id", "n", "regs", "bands", "short")
     members = reps.select("doc_id", F.explode("bands").alias("band")).filter("band <> 0")
     shared = members.groupBy("band").agg(F.count("*").alias("mates")).filter("mates > 1")
