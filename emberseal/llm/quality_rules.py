@@ -68,7 +68,6 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """COUNTS of each row."""
     rows = len(offs) - 1
     by_byte = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offs])
-    prefix = T.prefix_hash(data)
     s, e, first = T.words(data, offs)
     out = {
         "n_words": np.diff(first),
@@ -85,13 +84,13 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     last = np.append(row_of[1:] != row_of[:-1], True)
     stop[last] = offs[1:][row_of[last]]
     wordy = np.searchsorted(s, stop) > np.searchsorted(s, start)
-    keys = T.mix(T.range_hash(prefix, start[wordy], stop[wordy]))
+    keys = T.mix(T.hash_ranges(data, start[wordy], stop[wordy]))
     dup = _later_copies(keys, row_of[wordy])
     out["n_lines"] = np.bincount(row_of, minlength=rows)
     out["n_dup_lines"] = np.bincount(row_of[wordy][dup], minlength=rows)
     # Words in three-word windows that their row has twice or more.
     at, of = T.starts_within(first, 3)
-    w = T.windows(T.mix(T.range_hash(prefix, s, e)), 3)
+    w = T.windows(T.mix(T.hash_ranges(data, s, e)), 3)
     keys = T.mix(w[at] + T.mix(of.astype(np.uint64) + np.uint64(1))) if len(at) else np.zeros(0, np.uint64)
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
