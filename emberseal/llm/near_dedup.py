@@ -16,14 +16,12 @@
    all members are dealt out in blocks of BLOCK rows of short sketches (one
    byte a register), and each pair of blocks is looked at in one task. Sizes,
    distances to the centre (Jaccard distance is a metric) and estimates rule
-   out most; of what is left between different components, each member names
-   its FIRST best partners, whose sets are compared, and components are built
-   again. For members with more possible partners, the texts of these meet in
-   one task for each pair of blocks, where an inverted index counts all common
-   shingles; it returns links only. So neither round emits more than a few
-   pairs a member, and none that may link is left out. In a group whose members
-   are much alike but not linked, work grows with (members not linked to the
-   centre) x (members) / BLOCK texts.
+   out most. The texts of the members that are left as possible partners
+   between different components meet in one task for each pair of blocks,
+   where an inverted index counts all common shingles; it returns links only,
+   one for each member and component. Components are built again. In a group
+   whose members are much alike but not linked, work grows with (members not
+   linked to the centre) x (members) / BLOCK texts.
 
 Sizes bound similarity, so pairs of unlike sizes are dropped early. Bands have
 as many rows as they can so that a pair at the threshold shares none with a
@@ -54,7 +52,7 @@ from .durable import durable
 from .rowkeys import id_or_null, with_own_ids
 
 REGISTERS, MISS = 128, 1e-5
-BLOCK, FIRST, SALTS = 512, 2, 16
+BLOCK, SALTS = 512, 16
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
 
@@ -179,47 +177,36 @@ def _compare(n: int):
     return compared
 
 
-PARTNERS = "centre long, i int, j int, a long, b long, more boolean"
+PARTNERS = "centre long, i int, j int, doc_id long, c long, rest boolean"
 
 
 def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     return table.filter(table.column("rest")), table.filter(pc.invert(table.column("rest")))
 
 
-def _partners(percent: int, first: int):
-    """Of each unlinked member of one block, its `first` best partners among the members of another, and whether it has more.
-
-    Members that such a one with more might link with follow as rows without a.
-    """
+def _partners(percent: int):
+    """The unlinked members of one block that may link with members of another in other components, and the latter."""
 
     def partners(table: pa.Table) -> pa.Table:
-        a, b, more, possible = [], [], [], np.zeros(0, np.int64)
         rest, others = _split(table)
+        a, b = np.zeros(rest.num_rows, bool), np.zeros(others.num_rows, bool)
         if rest.num_rows and others.num_rows:
             t = percent / 100
 
             def read(table: pa.Table):
                 far = table.column("far").to_numpy().astype(float)  # NaN: not known
                 regs = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-                return table.column("doc_id").to_numpy(), table.column("c").to_numpy(), far, table.column("n").to_numpy(), regs
+                return table.column("c").to_numpy(), far, table.column("n").to_numpy(), regs
 
-            (ida, ca, fa, na, ra), (idb, cb, fb, nb, rb) = read(rest), read(others)
-            open_ = np.zeros(len(idb), bool)
-            for i in range(len(ida)):
+            (ca, fa, na, ra), (cb, fb, nb, rb) = read(rest), read(others)
+            for i in range(len(ca)):
                 fits = (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])) & ~(np.abs(fb - fa[i]) > 1 - t + 1e-9)
                 at = np.flatnonzero(fits)
                 if len(at):
-                    got, used = estimate(ra[i : i + 1], rb[at], (na[i : i + 1], nb[at]))
-                    near = may_link(got, used, percent)
-                    at, got = at[near], got[near]
-                    best = at[np.lexsort((idb[at], -got))][:first]
-                    a += [int(ida[i])] * len(best)
-                    b += idb[best].tolist()
-                    more += [len(at) > first] * len(best)
-                    open_[at] |= len(at) > first
-            possible = idb[open_]
-        one = lambda c: pa.array([table.column(c)[0].as_py()] * (len(a) + len(possible)), pa.int64() if c == "centre" else pa.int32())
-        return pa.table({"centre": one("centre"), "i": one("i"), "j": one("j"), "a": pa.array(a + [None] * len(possible), pa.int64()), "b": pa.array(b + possible.tolist(), pa.int64()), "more": pa.array(more + [True] * len(possible), pa.bool_())})
+                    at = at[may_link(*estimate(ra[i : i + 1], rb[at], (na[i : i + 1], nb[at])), percent)]
+                    a[i] = len(at) > 0
+                    b[at] = True
+        return pa.concat_tables([rest.filter(pa.array(a)), others.filter(pa.array(b))]).select(["centre", "i", "j", "doc_id", "c", "rest"])
 
     return partners
 
@@ -269,7 +256,7 @@ def _missed(starred: DataFrame, stars: DataFrame, reps: DataFrame, texts: DataFr
     members = starred.filter("doc_id <> centre").select("doc_id", "centre").distinct().join(far, ["doc_id", "centre"], "left")
     members = members.join(reps.select("doc_id", "n", "short"), "doc_id").withColumn("salt", salt)
     part = components(links)
-    own = _labelled(members, part)
+    own = members.join(part.select(F.col("v").alias("doc_id"), "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     main = _spread(members.select("centre").distinct().join(part.select(F.col("v").alias("centre"), F.col("c").alias("main")), "centre", "left").withColumn("main", F.coalesce("main", "centre")))
     own = durable(own.join(main, ["centre", "salt"]))
     sizes = own.groupBy("centre", "salt").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("main")).alias("r")).groupBy("centre").agg(F.sum("m").alias("m"), F.sum("r").alias("r"))
@@ -280,22 +267,8 @@ def _missed(starred: DataFrame, stars: DataFrame, reps: DataFrame, texts: DataFr
     kinds = lambda df, k, *more: df.select("centre", "i", "j", "doc_id", "c", *more, F.lit(k).alias("rest"))
     rest = kinds(held.filter("c <> main").withColumn("j", block("rb")).withColumn("i", every("mb")), True, "far", "n", "short")
     others = kinds(held.withColumn("i", block("mb")).withColumn("j", every("rb")), False, "far", "n", "short")
-    partners = durable(rest.unionByName(others).groupBy("centre", "i", "j").applyInArrow(_partners(percent, FIRST), PARTNERS))
-    first = _linked(_exact(partners.filter("a is not null").select("a", "b").distinct(), texts, n), percent)
-    part = components(links.unionByName(first))
-    asked = kinds(_labelled(partners.filter("more and a is not null").select("centre", "i", "j", F.col("a").alias("doc_id")).distinct(), part), True)
-    there = kinds(_labelled(partners.filter("a is null").select("centre", "i", "j", F.col("b").alias("doc_id")), part), False)
-    # Nothing is left to ask where all partners have become one component with the asking.
-    ends = lambda df: df.groupBy("centre", "i", "j").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    live = lambda df, by: df.join(ends(by), ["centre", "i", "j"]).filter("lo <> c or hi <> c").drop("lo", "hi")
-    both = live(asked, there).unionByName(live(there, asked))
-    more = both.join(texts, "doc_id").groupBy("centre", "i", "j").applyInArrow(_across(n, percent), "a long, b long")
-    return first.unionByName(durable(more))
-
-
-def _labelled(df: DataFrame, part: DataFrame) -> DataFrame:
-    """df (doc_id) with its component c."""
-    return df.join(part.select(F.col("v").alias("doc_id"), "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    partners = durable(rest.unionByName(others).groupBy("centre", "i", "j").applyInArrow(_partners(percent), PARTNERS))
+    return durable(partners.join(texts, "doc_id").groupBy("centre", "i", "j").applyInArrow(_across(n, percent), "a long, b long"))
 
 
 def _linked(checked: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +292,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     # Rows of copies meet their set under a salt, so that a large group is not one task's.
     salted = filled.select("doc_id", "k1", "k2", "n", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     to_rep = salted.join(_spread(sets.filter("copies > 1")), ["k1", "k2", "n", "salt"]).select("doc_id", "rep")
-    reps = filled.join(sets.select("k1", "k2", "n", F.col("rep").alias("doc_id")), ["k1", "k2", "n", "doc_id"]).dropDuplicates(["k1", "k2", "n"]).select("doc_id", "n", "regs", "bands", "short")
+    reps = durable(filled.join(sets.select("k1", "k2", "n", F.col("rep").alias("doc_id")), ["k1", "k2", "n", "doc_id"]).dropDuplicates(["k1", "k2", "n"]).select("doc_id", "n", "regs", "bands", "short").repartition("doc_id"))
     members = reps.select("doc_id", F.explode("bands").alias("band")).filter("band <> 0")
     shared = members.groupBy("band").agg(F.count("*").alias("mates")).filter("mates > 1")
     held = durable(members.join(shared, "band"))

@@ -43,7 +43,6 @@ def brute(texts, n, percent):
 @pytest.mark.parametrize("seed,percent", [(1, 85), (2, 80)])
 def test_groups(spark, monkeypatch, seed, percent):
     monkeypatch.setattr(N, "BLOCK", 16)
-    monkeypatch.setattr(N, "FIRST", 1)
     texts = edited(seed)
     want = brute(texts, 3, percent)
     assert 3 < len(set(want)) < 100
