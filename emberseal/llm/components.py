@@ -13,11 +13,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     A vertex sends its label along its edges; sums are combined on the map
     side, so a hub costs a row per task, and joins on a hub's key can be split.
-    Each round is written to the checkpoint folder. Edges lie by one end and
-    labels by vertex, so that a round needs one exchange; every third round,
-    labels also jump to their label's label, so that chains shrink fast.
+    Each round is written to the checkpoint folder. Labels stay by vertex, so
+    that a round needs two exchanges; every third round, labels also jump to
+    their label's label, so that chains shrink fast.
     """
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").repartition("b").distinct())
+    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = durable(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")))
     rounds = 0
     while True:
