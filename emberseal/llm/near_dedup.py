@@ -309,3 +309,35 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     final = components(links.unionByName(missed).unionByName(same))
     joined = sketches.select("doc_id", "n").join(final.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     return joined.select(id_or_null(last=last), F.col("n").alias("n_shingles"), F.when(F.col("c") > last, F.col("c")).alias("component_id"), (F.col("doc_id") == F.col("c")).alias("kept"))
+
+
+# The query's rows by DuckDB, with shingle = 3 and percent = 85, over every pair that shares a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), u AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM w
+), g AS (
+  SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s
+  FROM u
+), s AS (
+  SELECT DISTINCT doc_id, s FROM g WHERE i <= greatest(n - 2, 1)
+), z AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), b AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), l AS (
+  SELECT b.a, b.b FROM b JOIN z x ON b.a = x.doc_id JOIN z y ON b.b = y.doc_id
+  WHERE 100 * b.both >= 85 * (x.n + y.n - b.both)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT c.a AS doc_id, coalesce(z.n, 0) AS n_shingles, component_id, component_id = c.a AS kept
+FROM c LEFT JOIN z ON c.a = z.doc_id
+"""

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
+from . import near_dedup as near
+from . import substring_dedup as substrings
+from . import suffix_dedup as suffixes
 from .decontaminate import decontaminate
 from .license_scan import license_scan
 from .line_dedup import line_dedup
@@ -88,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.SQL}
+    return {"op1_substring_dedup": substrings.SQL, "op4_line_dedup": lines.SQL, "op5_near_dedup": near.SQL, "op6_suffix_dedup": suffixes.SQL}

@@ -123,3 +123,30 @@ def substring_dedup(docs: DataFrame, n: int = 13, digest: bool = False) -> DataF
     marks = listed.groupBy("shard").applyInArrow(_seen_earlier, B.MARKS)
     out = blocks.frame.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut(n, shards, digest), OUT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != B.NO_ID, F.col("doc_id")))
+
+
+# The query's rows by DuckDB, with n = 13.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), w AS (
+  SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), g AS (
+  SELECT r, doc_id, i, string_agg(word, ' ') OVER s AS words, count(*) OVER s AS n
+  FROM w WINDOW s AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), f AS (
+  SELECT words, min(doc_id) AS first FROM g WHERE n = 13 GROUP BY words
+), h AS (
+  SELECT g.r, g.i FROM g JOIN f ON g.words = f.words WHERE g.n = 13 AND f.first < g.doc_id
+), c AS (
+  SELECT w.r, w.i, w.word, count(h.i) OVER (PARTITION BY w.r ORDER BY w.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM w LEFT JOIN h ON w.r = h.r AND w.i = h.i
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM c
+)
+SELECT d.doc_id, count(e.word) AS n_words, count(*) FILTER (e.gone) AS n_removed,
+       sha256(coalesce(string_agg(e.word, ' ' ORDER BY e.i) FILTER (NOT e.gone), '')) AS kept_sha256,
+       count(*) FILTER (e.opens) AS n_spans
+FROM d LEFT JOIN e ON d.r = e.r GROUP BY d.r, d.doc_id
+"""

@@ -474,3 +474,28 @@ class SuffixStore:
         self.state = self.state | {"next": first if top is None else top + 1, "levels": levels}
         self.spark.createDataFrame([(json.dumps(self.state),)], "m string").coalesce(1).write.text(f"{self.folder}/manifest-{self.version:06d}")
         return _removed(reduce(DataFrame.unionByName, [*old, new]), keys, new, plan, digest, only_marked=bool(old))
+
+
+# The query's rows by DuckDB, with width = 100. Pieces of 1000 starts keep substring() short.
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), k AS (
+  SELECT r, doc_id, unnest(range(0, length(h) // 2, 1000)) AS base, h FROM d
+), p AS (
+  SELECT r, doc_id, base, substring(h, 2 * base + 1, 2198) AS part FROM k
+), o AS (
+  SELECT r, doc_id, base, part, unnest(range(0, least(1000, length(part) // 2))) AS i FROM p
+), b AS (
+  SELECT r, doc_id, base + i AS i, substring(part, 2 * i + 1, 2) AS byte, substring(part, 2 * i + 1, 200) AS s FROM o
+), f AS (
+  SELECT r, i, byte, length(s) = 200 AND row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS hit FROM b
+), c AS (
+  SELECT r, i, byte, bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM c
+)
+SELECT d.doc_id, count(e.byte) AS n_bytes, count(*) FILTER (e.gone) AS n_removed, count(*) FILTER (e.opens) AS n_spans,
+       sha256(unhex(coalesce(string_agg(e.byte, '' ORDER BY e.i) FILTER (NOT e.gone), ''))) AS kept_sha256
+FROM d LEFT JOIN e ON d.r = e.r GROUP BY d.r, d.doc_id
+"""
