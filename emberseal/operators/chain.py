@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +43,35 @@ def _with_pads(records: DataFrame, keyring: dict[str, bytes] | None) -> DataFram
     return records.join(F.broadcast(table), "key_id", "left")
 
 
+def _link(head: str, keyed: bool):
+    """linked() in plain Python over rows in seq order; it holds one hash, so a long trail needs no more memory than a short one."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev = head
+        for b in batches:
+            before, after_ = [], []
+            for text, ipad, opad in zip(*(b.column(c).to_pylist() for c in ("_c", "ipad", "opad")), strict=True):
+                before.append(prev)
+                if prev is None or keyed and ipad is None:  # a key that the ring lacks: no hash from here on
+                    prev = None
+                else:
+                    material = f"{text}|{len(prev)}:{prev}".encode()
+                    prev = sha256(opad + sha256(ipad + material).digest()).hexdigest() if keyed else sha256(material).hexdigest()
+                after_.append(prev)
+            yield pa.RecordBatch.from_arrays([b.column("seq"), pa.array(before, pa.string()), pa.array(after_, pa.string())], names=["seq", "prev_hash", "hash"])
+
+    return link
+
+
 def append(records: DataFrame, keyring: dict[str, bytes] | None = None, head: str = GENESIS) -> DataFrame:
-    """Records (seq and FIELDS) with prev_hash and hash, the first after head. A batch of erasures is one short chain, so it is folded in one task."""
+    """Records (seq, a long without nulls, and FIELDS) with prev_hash and hash, the first after head.
+
+    Each hash covers the one before, so one task links them: it reads the
+    records sorted by seq (the sort spills) and is linear in their number.
+    """
     keyed = keyring is not None
     rows = _with_pads(records, keyring).select("seq", canonical(VERSIONS[keyed]).alias("_c"), "ipad", "opad")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "_c", "ipad", "opad")))
-    own = lambda s, x: linked(x["_c"], s["head"], *((x["ipad"], x["opad"]) if keyed else ()))
-    step = lambda s, x: F.struct(own(s, x).alias("head"), F.array_append(s["out"], F.struct(x["seq"].alias("seq"), s["head"].alias("prev_hash"), own(s, x).alias("hash"))).alias("out"))
-    start = F.struct(F.lit(head).alias("head"), F.array().cast("array<struct<seq:bigint,prev_hash:string,hash:string>>").alias("out"))
-    links = rows.agg(F.aggregate(ordered, start, step, lambda s: s["out"]).alias("links")).select(F.inline("links"))
+    links = rows.repartition(1).sortWithinPartitions("seq").mapInArrow(_link(head, keyed), "seq long, prev_hash string, hash string")
     return records.join(links, "seq")
 
 

@@ -134,7 +134,7 @@ def trail_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hooked(spark: SparkSession, d: str) -> DataFrame:
-    """Five records for each of five subjects; record seq runs hooks a and b, a succeeds on even and b on every third."""
+    """The trail dealt to five subjects; record seq runs hooks a and b, a succeeds on even and b on every third."""
     hook = lambda name, ok: F.struct(F.lit(name).alias("hook"), ok.alias("succeeded"), F.when(~ok, "pending").alias("detail"))
     seq = F.col("seq")
     return _trail(spark, d).select("seq", "tenant", F.concat(F.lit("p"), seq % 5).alias("subject_pseudonym"), F.array(hook("a", seq % 2 == 0), hook("b", seq % 3 == 0)).alias("hook_outcomes"))
@@ -165,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
     body = "'sh2h|2:' || key_id || '|' || strlen(ts) || ':' || ts || '|1:t' || '|' || strlen(p) || ':' || p || '|7:officer|-|1:1|1:1|1:2|1:0|8:COMPLETE|0:|20:2026-01-01T00:00:00Z'"
     ts = "strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN us = 0 THEN '' WHEN us % 1000 = 0 THEN '.' || lpad(CAST(us // 1000 AS VARCHAR), 3, '0') ELSE '.' || lpad(CAST(us AS VARCHAR), 6, '0') END || 'Z'"
     mac = "sha256(unhex(b.opad) || unhex(sha256(unhex(b.ipad) || encode(b.body || '|64:' || c.hash))))"
-    hooked = "(SELECT n_nationkey + 1 AS seq, 'p' || (n_nationkey + 1) % 5 AS p FROM nation)"
+    hooked = "(SELECT c_custkey + 1 AS seq, 'p' || (c_custkey + 1) % 5 AS p FROM customer)"
     last = f"(SELECT p, CAST(max(seq) AS BIGINT) AS seq FROM {hooked} GROUP BY p)"
     bal = "CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)"
     moved = "c_custkey % 7 = 0"
@@ -183,12 +183,12 @@ def oracle_sql() -> dict[str, str]:
         "write_settlement_bad_rows": "SELECT c_custkey, '' AS field, '' AS state FROM customer WHERE false",
         "subject_moved_rows": f"SELECT c_custkey, field, 'SHRED-SUBJECT-MISMATCH' AS state FROM customer, (VALUES ('c_name'), ('c_acctbal')) f(field) WHERE {moved}",
         "backup_clear_dates": "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 35 DAY, '%Y-%m-%d %H:%M:%S') AS clear_at FROM orders",
-        "chain_keyed_hashes": f"WITH RECURSIVE r AS (SELECT n_nationkey + 1 AS seq, CASE WHEN n_nationkey < 10 THEN 'k1' ELSE 'k2' END AS key_id, 'p' || n_nationkey AS p, (1700000000000000 + n_nationkey * 1500120) % 1000000 AS us, make_timestamp(CAST(1700000000000000 + n_nationkey * 1500120 AS BIGINT)) AS t FROM nation), s AS (SELECT seq, key_id, p, {ts} AS ts FROM r), b AS (SELECT seq, {body} AS body, ipad, opad FROM s JOIN (VALUES {ring}) k(key_id, ipad, opad) USING (key_id)), c AS (SELECT CAST(0 AS BIGINT) AS seq, '' AS prev_hash, repeat('0', 64) AS hash UNION ALL SELECT CAST(b.seq AS BIGINT), c.hash, {mac} FROM c JOIN b ON b.seq = c.seq + 1) SELECT seq, prev_hash, hash FROM c WHERE seq > 0",
+        "chain_keyed_hashes": f"WITH RECURSIVE r AS (SELECT c_custkey + 1 AS seq, CASE WHEN c_custkey < 10 THEN 'k1' ELSE 'k2' END AS key_id, 'p' || c_custkey AS p, (1700000000000000 + c_custkey * 1500120) % 1000000 AS us, make_timestamp(CAST(1700000000000000 + c_custkey * 1500120 AS BIGINT)) AS t FROM customer), s AS (SELECT seq, key_id, p, {ts} AS ts FROM r), b AS (SELECT seq, {body} AS body, ipad, opad FROM s JOIN (VALUES {ring}) k(key_id, ipad, opad) USING (key_id)), c AS (SELECT CAST(0 AS BIGINT) AS seq, '' AS prev_hash, repeat('0', 64) AS hash UNION ALL SELECT CAST(b.seq AS BIGINT), c.hash, {mac} FROM c JOIN b ON b.seq = c.seq + 1) SELECT seq, prev_hash, hash FROM c WHERE seq > 0",
         "chain_verify_keyed": state.format("INTACT", "NULL"),
         "chain_verify_unknown_key": state.format("BROKEN", "11"),
         "chain_verify_no_anchor": state.format("NO_ANCHOR", "NULL"),
-        "trail_page": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS seq, 'p' || n_nationkey AS subject_pseudonym FROM nation WHERE n_nationkey + 1 > 5 ORDER BY seq LIMIT 10",
+        "trail_page": "SELECT CAST(c_custkey + 1 AS BIGINT) AS seq, 'p' || c_custkey AS subject_pseudonym FROM customer WHERE c_custkey + 1 > 5 ORDER BY seq LIMIT 10",
         "latest_record_by_subject": f"SELECT 't' AS tenant, p AS subject_pseudonym, seq FROM {last}",
         "outstanding_hooks": f"SELECT 't' AS tenant, p AS subject_pseudonym, seq, hook, 'pending' AS detail FROM {last}, (VALUES ('a', 2), ('b', 3)) h(hook, every) WHERE seq % every <> 0",
-        "hook_texts": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS seq, CASE WHEN n_nationkey % 2 = 1 THEN '|1:a|4:true|-' ELSE '|1:a|5:false|7:pending' END || CASE WHEN n_nationkey % 3 = 2 THEN '|1:b|4:true|-' ELSE '|1:b|5:false|7:pending' END AS material FROM nation",
+        "hook_texts": "SELECT CAST(c_custkey + 1 AS BIGINT) AS seq, CASE WHEN c_custkey % 2 = 1 THEN '|1:a|4:true|-' ELSE '|1:a|5:false|7:pending' END || CASE WHEN c_custkey % 3 = 2 THEN '|1:b|4:true|-' ELSE '|1:b|5:false|7:pending' END AS material FROM customer",
     }

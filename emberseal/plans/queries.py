@@ -144,7 +144,8 @@ def read_mismatch_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trail(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"))
+    """One record for each customer, as for a subject that was erased; seq has no gaps, as c_custkey has none."""
+    n = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
     when = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("k") * 1_500_120)
     rows = n.select((F.col("k") + 1).alias("seq"), F.lit("none").alias("key_id"), chain.instant(when).alias("ts"), F.lit("t").alias("tenant"), F.concat(F.lit("p"), "k").alias("subject_pseudonym"), F.lit("officer").alias("requested_by"), F.lit(None).cast("string").alias("reason"), F.lit(1).alias("keys_destroyed"), F.lit(1).alias("entity_count"), F.lit(2).alias("field_count"), F.lit(0).alias("blind_index_cleared"), F.lit("COMPLETE").alias("outcome"), F.lit("").alias("hook_material"), F.lit("2026-01-01T00:00:00Z").alias("backup_clear_at"))
     return stored(chain.append(rows))
@@ -217,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
         "tombstone_blocks_mint": f"SELECT {OWNER}, CAST(1 AS BIGINT) AS version FROM customer WHERE c_nationkey <> {GONE}",
         "identifier_violations": r"SELECT c_custkey FROM customer WHERE NOT regexp_full_match(c_name, '[A-Za-z0-9\-_.:@+]{1,255}')",
         "read_mismatch_classify": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey > (SELECT min(c_custkey) FROM customer) THEN 'SHRED-SUBJECT-MISMATCH' ELSE 'OK' END AS state FROM customer",
-        "chain_hashes": f"WITH RECURSIVE r AS (SELECT n_nationkey + 1 AS seq, 'p' || n_nationkey AS p, (1700000000000000 + n_nationkey * 1500120) % 1000000 AS us, make_timestamp(CAST(1700000000000000 + n_nationkey * 1500120 AS BIGINT)) AS t FROM nation), s AS (SELECT seq, p, {text} AS ts FROM r), b AS (SELECT seq, ts, {body} AS body FROM s), c AS (SELECT CAST(0 AS BIGINT) AS seq, '' AS ts, '' AS prev_hash, repeat('0', 64) AS hash UNION ALL SELECT CAST(b.seq AS BIGINT), b.ts, c.hash, sha256(b.body || '|64:' || c.hash) FROM c JOIN b ON b.seq = c.seq + 1) SELECT seq, ts, prev_hash, hash FROM c WHERE seq > 0",
+        "chain_hashes": f"WITH RECURSIVE r AS (SELECT c_custkey + 1 AS seq, 'p' || c_custkey AS p, (1700000000000000 + c_custkey * 1500120) % 1000000 AS us, make_timestamp(CAST(1700000000000000 + c_custkey * 1500120 AS BIGINT)) AS t FROM customer), s AS (SELECT seq, p, {text} AS ts FROM r), b AS (SELECT seq, ts, {body} AS body FROM s), c AS (SELECT CAST(0 AS BIGINT) AS seq, '' AS ts, '' AS prev_hash, repeat('0', 64) AS hash UNION ALL SELECT CAST(b.seq AS BIGINT), b.ts, c.hash, sha256(b.body || '|64:' || c.hash) FROM c JOIN b ON b.seq = c.seq + 1) SELECT seq, ts, prev_hash, hash FROM c WHERE seq > 0",
         "chain_verify_intact": state.format("INTACT_UNKEYED", "NULL"),
         "chain_verify_broken_at": state.format("BROKEN", "7"),
         "chain_anchor_mismatch": state.format("ANCHOR_MISMATCH", "NULL"),

@@ -1,11 +1,13 @@
 import datetime
 import decimal
+import hashlib
 
 import duckdb
 import pytest
 
 from emberseal.functions.crypto import hkdf, master_key
 from emberseal.errors import SealError
+from emberseal.operators import chain
 from emberseal.operators.blind_index import normalised
 from emberseal.plans import erasure_queries, guard_queries, queries, relational_queries, vault_queries
 
@@ -70,3 +72,19 @@ def test_keys_are_opened_above_all_exchanges(spark):
             if "Exchange" in line and "Broadcast" not in line:
                 above.append(depth)
         assert seen
+
+
+def test_chain_append_by_python(spark):
+    plain = [(i, k, "2024-01-01T00:00:00Z", "t", f"p{i}", "o", None, 1, 1, 2, 0, "COMPLETE", "", "2026-01-01T00:00:00Z") for i, k in ((3, "none"), (1, "none"), (2, "none"))]
+    schema = "seq long, key_id string, ts string, tenant string, subject_pseudonym string, requested_by string, reason string, keys_destroyed int, entity_count int, field_count int, blind_index_cleared int, outcome string, hook_material string, backup_clear_at string"
+    got = {r.seq: r for r in chain.append(spark.createDataFrame(plain, schema)).collect()}
+    prev = "0" * 64
+    for seq in (1, 2, 3):
+        body = f"sh1|4:none|20:2024-01-01T00:00:00Z|1:t|2:p{seq}|1:o|-|1:1|1:1|1:2|1:0|8:COMPLETE|0:|20:2026-01-01T00:00:00Z|64:{prev}"
+        assert got[seq].prev_hash == prev and got[seq].hash == hashlib.sha256(body.encode()).hexdigest()
+        prev = got[seq].hash
+    ring = {"k1": b"k" * 32}
+    keyed = [(i, "k1" if i != 2 else "gone", *r[2:]) for i, r in enumerate(plain, 1)]
+    hashes = {r.seq: r.hash for r in chain.append(spark.createDataFrame(keyed, schema), ring).collect()}
+    assert hashes[1] and hashes[2] is None and hashes[3] is None
+    assert chain.append(spark.createDataFrame([], schema)).collect() == []
