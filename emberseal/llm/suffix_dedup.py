@@ -10,10 +10,12 @@ its anchor; equal strings have equal anchors at equal places. Consecutive
 starts with one anchor make a run; the suffix at a run's first start, up to the
 end of its last string, holds all of its strings.
 
-1. Blocks of documents list the fingerprints of their anchors, and shards over
-   all blocks tell which anchors stand in two places at least. This only rules
-   out suffixes that match nowhere.
-2. The suffixes of the other runs go to their anchor's shard. There each block
+1. Blocks of documents list the fingerprints of their anchors and of the runs'
+   bytes, and shards over all blocks tell which runs an earlier block holds too
+   (equal in both, 128 bits: they go whole) and which anchors have two or more
+   different runs. Only the first of equal runs goes on, so what the next step
+   ships grows with the different surroundings of anchors, not with copies.
+2. The suffixes of those runs go to their anchor's shard. There each block
    is a batch: its suffixes are sorted by their bytes, and the suffix array is
    merge-scanned against all levels of the index. The common prefix with its
    neighbours there tells how many leading strings of a run were seen; suffixes
@@ -22,10 +24,11 @@ end of its last string, holds all of its strings.
 3. Strings may also be shared between suffixes that differ. So, for anchors
    with two or more suffixes, a suffix array of all their strings is scanned.
 
-All three compare bytes. An anchor with HOT or more suffixes, as on the border
-of a passage that half of the documents hold, would gather them all in one
-shard, so its strings are dealt by their own fingerprints (128 bits) instead
-of step 2, and only those are compared.
+Steps 2 and 3 compare bytes. An anchor with HOT or more suffixes, as on the
+border of a passage that half of the documents hold, would gather them all in
+one shard, so its strings are dealt by their own fingerprints (128 bits)
+instead of step 2, and only those are compared. So are those of an anchor with
+more than HOT / 64 different runs in one block, which lists them as one.
 
 `SuffixStore` keeps the family on disk, so that a later batch of documents is
 scanned against those before it.
@@ -61,6 +64,10 @@ SHARD_KEYS, SHARD_RUNS = 1 << 19, 1 << 17
 #: Strings that are sorted at a time in step 3.
 SCAN_STRINGS = 1 << 17
 HOT = 1 << 14
+# Fixed value: stands for the contents of a key that has too many in a block.
+CROWDED = np.uint64(0)
+#: Of a store's packed keys: 2 holds contents.
+FORM = 2
 _PLACE_BITS = 24  # a piece has fewer bytes
 
 
@@ -179,10 +186,15 @@ class Runs:
         #: First runs of distinct contents, by key and then by place.
         self.first = first[np.lexsort((first, self.key[first]))]
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct keys, how many contents each has, and the key number of each of `first`."""
-        keys, number, counts = np.unique(self.key[self.first], return_inverse=True, return_counts=True)
-        return keys, counts, number
+    def entries(self, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys and a content of each, and the entry of each of `first`. A key of more than `crowd` contents has one entry, CROWDED."""
+        keys, content = self.key[self.first], np.maximum(self.content[self.first], CROWDED + np.uint64(1))
+        _, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        many = counts[number] > crowd
+        own = ~many
+        own[1:] |= number[1:] != number[:-1]
+        own[:1] = True
+        return keys[own], np.where(many, CROWDED, content)[own], np.cumsum(own) - 1
 
     def suffixes(self, runs: np.ndarray, wide: int) -> tuple[bytes, np.ndarray]:
         """The bytes of these runs end to end, and where each begins (and the end)."""
@@ -240,38 +252,50 @@ class Plan:
             raise ValueError("gram must be from width - 254 to width")
         runs = total_bytes / max(1.0, (width - gram) / 2)
         self.width, self.gram, self.wide, self.hot, self.new = width, gram, 2 * width - gram, hot, new
+        self.crowd = max(1, hot // 64)
         self.shards, self.shards_2 = shards or (int(runs // SHARD_KEYS) + 1, int(runs // SHARD_RUNS) + 1)
 
     def list_keys(self, table: pa.Table) -> pa.Table:
-        """Step 1, block: its keys, and of how many contents."""
+        """Step 1, block: its keys, and the contents of their runs."""
         block, _, text = B.block_rows(table)
-        keys, counts, _ = Runs(text, self.width, self.gram).keys()
-        return B.shard_rows(block, keys, self.shards, np.minimum(counts, 65535).astype(np.uint16))
+        keys, content, _ = Runs(text, self.width, self.gram).entries(self.crowd)
+        return B.shard_rows(block, keys, self.shards, content)
 
     def scan_keys(self, table: pa.Table) -> pa.Table:
-        """Step 1, shard: keys of two or more contents (1), and of `hot` or more (2), if a new block has them."""
+        """Step 1, shard: first ones of the contents of keys with two or more (1) or `hot` or more (2), if a new block adds to them; contents of an earlier block (5)."""
         shard, got = table.column("shard")[0].as_py(), list(B.packed_rows(table))
-        keys = np.concatenate([B.unplanes(p, n) for _, n, p in got])
-        counts = np.concatenate([B.unplanes(p[8 * n :], n, np.uint16) for _, n, p in got]).astype(np.int64)
-        _, back = np.unique(keys, return_inverse=True)
-        fresh = np.repeat([b >= self.new for b, _, _ in got], [n for _, n, _ in got])
-        total = (np.bincount(back, weights=counts) * (np.bincount(back, weights=fresh) > 0))[back]
+        keys, content = (np.concatenate([B.unplanes(p[skip * n :], n) for _, n, p in got]) for skip in (0, 8))
+        order = np.lexsort((content, keys))  # stable: earlier blocks stand first
+        keys, content = keys[order], content[order]
+        opens = np.ones(len(keys), bool)
+        opens[1:] = keys[1:] != keys[:-1]
+        crowded = content == CROWDED
+        first = opens | crowded
+        first[1:] |= content[1:] != content[:-1]
+        number = np.cumsum(opens) - 1
+        fresh = np.repeat([b >= self.new for b, _, _ in got], [n for _, n, _ in got])[order]
+        total = np.bincount(number, weights=np.where(crowded, self.hot, first)) * (np.bincount(number, weights=first & fresh) > 0)
         cuts = np.cumsum([0, *(n for _, n, _ in got)])
-        return B.marks_table([(b, shard, r, (total >= least)[i:j]) for r, least in ((1, 2), (2, self.hot)) for (b, _, _), i, j in zip(got, cuts, cuts[1:], strict=False)])
-
-    def told(self, text: pa.Array, marks: pa.Table) -> tuple[Runs, np.ndarray, np.ndarray]:
-        """The block's runs; those of `first` that step 2 compares, and those whose strings are dealt one by one."""
+        told = []
+        for r, mark in ((1, first & (total[number] >= 2)), (2, first & (total[number] >= self.hot)), (5, ~first & fresh)):
+            back = np.zeros(len(order), bool)
+            back[order] = mark
+            told += [(b, shard, r, back[i:j]) for (b, _, _), i, j in zip(got, cuts, cuts[1:], strict=False)]
+        return B.marks_table(told)
+
+    def told(self, text: pa.Array, marks: pa.Table) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
+        """The block's runs; those of `first` that step 2 compares, those whose strings are dealt one by one, and those of an earlier block."""
         runs = Runs(text, self.width, self.gram)
-        keys, _, number = runs.keys()
-        shared, hot = (B.read_marks(marks, r, keys, self.shards)[number] for r in (1, 2))
-        return runs, runs.first[shared & ~hot], runs.first[shared & hot]
+        keys, _, number = runs.entries(self.crowd)
+        shared, hot, seen = (B.read_marks(marks, r, keys, self.shards)[number] for r in (1, 2, 5))
+        return runs, runs.first[shared & ~hot], runs.first[hot], runs.first[seen]
 
     def list_suffixes(self, left: pa.Table, marks: pa.Table) -> pa.Table:
         """Step 2, block: its suffixes, and strings of hot keys, for shards beyond the others."""
         if not left.num_rows or not marks.num_rows:
             return B.shard_rows(0, np.zeros(0, np.uint64), 1)
         block, _, text = B.block_rows(left)
-        runs, cold, hot = self.told(text, marks)
+        runs, cold, hot, _ = self.told(text, marks)
         raw, at = runs.suffixes(cold, self.wide)
         cuts = np.searchsorted(B.shard_of(runs.key[cold], self.shards_2), np.arange(self.shards_2 + 1))
         used = [i for i in range(self.shards_2) if cuts[i] < cuts[i + 1]]
@@ -343,7 +367,7 @@ class Plan:
 
     def gone(self, text: pa.Array, marks: pa.Table) -> tuple[Runs, np.ndarray]:
         """The block's runs, and which of its bytes go."""
-        runs, cold, hot = self.told(text, marks)
+        runs, cold, hot, seen = self.told(text, marks)
         size = len(runs.raw)
         bits, count = np.zeros(int(runs.count[cold].sum()), bool), runs.count[cold]
         place = np.concatenate([[0], np.cumsum(count)])
@@ -361,6 +385,7 @@ class Plan:
             starts.append(at[again | B.read_marks(marks, 4, hi[one], self.shards_2)[rank]])
         later = np.ones(len(runs.start), bool)
         later[runs.first] = False
+        later[seen] = True
         starts, whole = np.concatenate(starts), np.flatnonzero(later)
         steps = np.bincount(starts, minlength=size + 1).astype(np.int32)
         steps -= np.bincount(starts + self.width, minlength=size + 1).astype(np.int32)
@@ -434,10 +459,10 @@ class SuffixStore:
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
         self.version = max((int(x.removeprefix("manifest-")) for x in names if x.startswith("manifest-")), default=0)
-        rules = {"width": width, "gram": gram, "shards": shards}
+        rules = {"form": FORM, "width": width, "gram": gram, "shards": shards}
         self.state = json.loads(spark.read.text(f"{self.folder}/manifest-{self.version:06d}").first()[0]) if self.version else rules | {"next": 0, "levels": []}
-        if {k: self.state[k] for k in rules} != rules:
-            raise ValueError("the store was made with other widths or shards")
+        if {k: self.state.get(k) for k in rules} != rules:
+            raise ValueError("the store was made with other widths or shards, or in an older form")
         self.hot = hot
 
     def _read(self, level: dict, what: str) -> DataFrame:

@@ -144,3 +144,32 @@ def test_batches_against_a_stored_index(spark, tmp_path, seed):
     assert S.SuffixStore(spark, folder, shards=5).add(batch.limit(0)).collect() == []
     with pytest.raises(ValueError):
         S.SuffixStore(spark, folder, shards=6)
+
+
+def test_copies_in_other_blocks_ship_no_suffixes():
+    """What a block lists after step 1 grows with different texts: copies of them in 12 blocks add nothing."""
+    r = random.Random(8)
+    prose = ["".join(r.choice("abcdefgh ") for _ in range(2_000)) for _ in range(6)]
+    mixed = [prose[0][:700] + prose[1][300:900], prose[2][50:400] + prose[3][:500]]
+    blocks, shipped = [prose, mixed, *([*prose, *mixed] for _ in range(10))], []
+
+    class Told(S.Plan):
+        def list_suffixes(self, left, marks):
+            out = super().list_suffixes(left, marks)
+            shipped.append(sum(map(len, out.column("packed").to_pylist())))
+            return out
+
+    got = stepped(blocks, Told(100, 50, sum(len(t) for b in blocks for t in b)))
+    assert all((a == b).all() for a, b in zip(got, brute([t for b in blocks for t in b]), strict=True))
+    assert shipped[0] > 0 and shipped[1] > 0 and not any(shipped[2:])
+
+
+def test_a_key_crowded_in_one_block():
+    """More than hot / 64 surroundings of an anchor in a block, others of it in blocks before and after."""
+    r = random.Random(4)
+    passage, own = "".join(r.choice("abcdefgh") for _ in range(130)), lambda: "".join(r.choice("abcdefgh ") for _ in range(60))
+    few = [own() + passage + own() for _ in range(2)]
+    blocks = [[*few, own() * 3], [*few, *(own() + passage + own() for _ in range(8))], [few[0], own() + passage + own()], [own() + passage + own() for _ in range(8)]]
+    blocks = [sorted(b) for b in blocks]
+    got = stepped(blocks, S.Plan(100, 50, 20_000, 256))
+    assert all((a == b).all() for a, b in zip(got, brute([t for b in blocks for t in b]), strict=True))
